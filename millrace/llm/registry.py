@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, topk
+from . import bpe, exact_dedup, html_text, near_dedup, topk
 
 QUERIES = {
     "op2_exact_top_k": topk.op2_exact_top_k,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op7_simhash_near_dedup": near_dedup.op7_simhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
