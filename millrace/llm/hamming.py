@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import Forest, cut
 
 CHUNK = 1 << 16
+Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
+Emit = Callable[[pd.DataFrame, Pairs], tuple[np.ndarray, np.ndarray]]
 
 
 def _signed(x: int) -> int:
@@ -48,11 +50,12 @@ def _deal(choices: list[int]) -> Column:
     return F.array(*[F.struct(F.xxhash64(F.lit(_signed(m)), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key"), F.lit(_signed(m)).alias("mask")) for m in choices])
 
 
-def pairs_within(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of equal key whose fingerprints differ in at most ``radius`` bits; ``keys`` is sorted."""
+def pairs_within(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of equal key whose fingerprints differ in at most ``radius`` bits, shift by shift (j - i =
+    1, 2, ...), so that no more than a row's worth of pairs is held; ``keys`` is sorted."""
     n = len(fps)
     if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     run = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     longest = int(np.diff(run).max())
     words = (n + 63) // 64 + 1
@@ -64,7 +67,6 @@ def pairs_within(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
     planes = planes.view(np.uint64)
     width = radius.bit_length() + (radius & (radius + 1) > 0)  # counters hold 0 .. 2**width - 1
     width = max(width, 1)
-    left, right = [], []
     for d in range(1, longest):
         valid = np.zeros(words * 8, np.uint8)
         same = np.packbits(keys[:-d] == keys[d:], bitorder="little")
@@ -97,11 +99,8 @@ def pairs_within(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
             lanes = np.unpackbits(hit.view(np.uint8).reshape(len(at), 8), axis=1, bitorder="little")
             w, lane = np.nonzero(lanes)
             i = at[w] * 64 + lane
-            left.append(i)
-            right.append(i + d)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+            if len(i):
+                yield i, i + d
 
 
 def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -148,16 +147,15 @@ def whole_groups(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[tuple[
         yield split(rest)
 
 
-def _comparer(radius: int, limit: int, emit: Callable[[pd.DataFrame, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+def _comparer(radius: int, limit: int, emit: Emit):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for small, large in whole_groups(batches, limit):
             if len(small) > 1:
                 small = small.reset_index(drop=True)
                 for lo, hi in _chunks(small["key"].to_numpy()):
                     part = small.iloc[lo:hi]
-                    i, j = pairs_within(part["key"].to_numpy(), part["fp"].to_numpy(), radius)
-                    if len(i):
-                        a, b = emit(part, i, j)
+                    a, b = emit(part, pairs_within(part["key"].to_numpy(), part["fp"].to_numpy(), radius))
+                    if len(a):
                         yield pd.DataFrame({"a": a, "b": b, "fp": np.int64(0), "mask": np.int64(0), "again": False})
             if large is not None and len(large):
                 yield pd.DataFrame({"a": large["id"].to_numpy(), "b": large["id"].to_numpy(), "fp": large["fp"].to_numpy(), "mask": large["mask"].to_numpy(), "again": True})
@@ -175,21 +173,32 @@ def _chunks(keys: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def forest_edges(part: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links: as connected as all of them, and fewer than the rows."""
-    ids, f = part["id"].to_numpy(), Forest(len(part))
-    kept = [(x, y) for x, y in zip(i.tolist(), j.tolist()) if f.join(x, y)]
+def forest_edges(part: pd.DataFrame, pairs: Pairs, agree: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (those that ``agree``, if given): as connected as all of them, fewer than rows.
+    A pair that is connected already is not looked at again."""
+    ids, f, of, kept = part["id"].to_numpy(), Forest(len(part)), np.arange(len(part)), []
+    for i, j in pairs:
+        new = np.flatnonzero(of[i] != of[j])
+        joined = [(x, y) for x, y in zip(i[new].tolist(), j[new].tolist()) if f.root(x) != f.root(y) and (agree is None or agree(x, y)) and f.join(x, y)]
+        if joined:
+            kept += joined
+            of = np.array(f.up)
+            while (of[of] != of).any():
+                of = of[of]
     x, y = (np.array([k[s] for k in kept], np.int64) for s in (0, 1))
     return ids[x], ids[y]
 
 
-def touched(part: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def touched(part: pd.DataFrame, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
     """Only which rows have a link."""
-    ids = np.unique(part["id"].to_numpy()[np.concatenate([i, j])])
+    hit = np.zeros(len(part), bool)
+    for i, j in pairs:
+        hit[i] = hit[j] = True
+    ids = np.unique(part["id"].to_numpy()[hit])
     return ids, ids
 
 
-def links(fps: DataFrame, radius: int, blocks: int, emit=forest_edges, limit: int = 4096) -> DataFrame:
+def links(fps: DataFrame, radius: int, blocks: int, emit: Emit = forest_edges, limit: int = 4096) -> DataFrame:
     """Edges ``(a, b)`` between the ids of ``fps(id, fp)``, whose fp are distinct, by the rule of ``emit``: with
     forest_edges, ids are connected by edges exactly if links within the radius connect them."""
     todo = fps.select("id", "fp", F.explode(_deal(masks(radius, blocks))).alias("k"))
