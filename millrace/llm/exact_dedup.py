@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, ascii_lower, cut, read
+from .common import BitFilter, cut, read
 
 LAST = (1 << 63) - 1  # the order key of a null id
 
@@ -107,6 +110,23 @@ def _index(memtable_rows: int):
     return run
 
 
+def _digests(digits: int, bits=None):
+    """Order key and digests of each row; with ``bits``, of the rows whose digest passes, and their normalised text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py().encode("utf-8", "surrogatepass").lower() for t in b.column(1)]  # A-Z only
+            sha = [hashlib.sha256(t).hexdigest() for t in texts]
+            if bits is None:
+                yield pa.record_batch([b.column(0), pa.array(sha, pa.string()), pa.array([s[:digits] for s in sha], pa.string())], names=["ord", "sha", "digest"])
+                continue
+            hashed = np.array([xxhash.xxh64_intdigest(s[:digits], 42) for s in sha], np.uint64)  # as Spark's xxhash64
+            at = np.flatnonzero(bits.value.might_contain(hashed)).tolist()
+            yield pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), pa.array([sha[i] for i in at], pa.string()), pa.array([sha[i][:digits] for i in at], pa.string()), pa.array([texts[i].decode("utf-8", "surrogatepass") for i in at], pa.string())], names=["ord", "sha", "digest", "text"])
+
+    return run
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest_digits: int = 64, memtable_rows: int = 1 << 16) -> DataFrame:
     """One row per row of ``docs``: ``id, keep_id, group_size, kept, text_sha256``. Texts are equal when identical
     after lower-casing A-Z; null counts as empty. Of equal texts the row with the smallest (or ``largest``) id stays.
@@ -121,9 +141,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     turn = (lambda c: F.bitwise_not(c)) if keep == "largest" else (lambda c: c)
-    text = ascii_lower(text_col)
-    sha = F.sha2(text, 256)
-    rows = docs.select(F.coalesce(turn(F.col(id_col).cast("long")), F.lit(LAST)).alias("ord"), sha.alias("sha"), F.substring(sha, 1, digest_digits).alias("digest"), text.alias("text"))
+    source = docs.select(F.coalesce(turn(F.col(id_col).cast("long")), F.lit(LAST)).alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = cut(source.mapInArrow(_digests(digest_digits), "ord long, sha string, digest string"))
     schema = "digest string, ord long, n long"
     runs = rows.select("digest", "ord", F.lit(1).cast("long").alias("n")).mapInPandas(_index(memtable_rows), schema)
     repeated = cut(runs.repartition("digest").mapInPandas(_index(memtable_rows), schema).where("n > 1"))
@@ -133,13 +152,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(bits.value.might_contain(h.to_numpy(np.int64)))
 
-    passed = maybe(F.xxhash64("digest"))
     single = F.lit(1).cast("long").alias("n")
-    alone = rows.where(~passed).select("ord", F.col("ord").alias("keep"), single, "sha")
+    alone = rows.where(~maybe(F.xxhash64("digest"))).select("ord", F.col("ord").alias("keep"), single, "sha")
+    passed = source.mapInArrow(_digests(digest_digits, bits), "ord long, sha string, digest string, text string")
     hits = repeated.select("digest", F.col("ord").alias("least"))
-    # left: what passed the filter by chance has no partner, stands alone, and needs no text
-    stays = rows.where(passed).join(hits, "digest").where("ord = least").groupBy("digest").agg(F.min("text").alias("stays"))
-    met = rows.where(passed).join(stays, "digest", "left").select("ord", "sha", "digest", F.col("stays").isNull().alias("chance"), F.when(F.col("text") != F.col("stays"), F.col("text")).alias("other"))
+    # by digest and id, so that a large group is dealt over many tasks; left: what passed the filter by chance has no partner, stands alone, and needs no text
+    stays = passed.join(hits.withColumnRenamed("least", "ord"), ["digest", "ord"]).groupBy("digest").agg(F.min("text").alias("stays"))
+    met = cut(passed.join(stays, "digest", "left").select("ord", "sha", "digest", F.col("stays").isNull().alias("chance"), F.when(F.col("text") != F.col("stays"), F.col("text")).alias("other")))
     groups = met.where("not chance").groupBy("digest", "other").agg(F.min("ord").alias("keep"), F.count("*").alias("n"))
     g = groups.select(F.col("digest").alias("d"), F.col("other").alias("o"), "keep", "n")
     same = (F.col("digest") == F.col("d")) & F.col("other").eqNullSafe(F.col("o"))
