@@ -47,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state or not new[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
+            ends = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return ends.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
         state = new
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
