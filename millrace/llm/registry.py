@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, line_dedup, near_dedup, quality, topk
+from . import bpe, exact_dedup, html_text, line_dedup, mixing, near_dedup, quality, topk
 
 QUERIES = {
     "op2_exact_top_k": topk.op2_exact_top_k,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_simhash_near_dedup": near_dedup.op7_simhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
