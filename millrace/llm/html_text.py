@@ -16,7 +16,7 @@ from functools import lru_cache
 from math import exp, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -311,12 +311,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     cols = [F.col(id_col).alias("id"), *keep]
     schema = pages.select(*cols).schema.add("text", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n, names = len(cols), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["text"] = [model.text(h) for h in b.pop("_html")]
-            yield b
+            text = pa.array([model.text(h.as_py()) for h in b.column(n)], pa.string())
+            yield pa.record_batch([*b.columns[:n], text], names=names)
 
-    return pages.select(*cols, F.coalesce(F.col(html_col), F.lit("")).alias("_html")).mapInPandas(run, schema)
+    return pages.select(*cols, F.coalesce(F.col(html_col), F.lit("")).alias("_html")).mapInArrow(run, schema)
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,14 +121,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     scanner = Scanner(templates or TEMPLATES, containment, miss)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(k, *g) for k, t in enumerate(b["text"]) for g in scanner.scan(t)]
+            got = [(k, *g) for k, t in enumerate(b.column(1)) for g in scanner.scan(t.as_py())]
             if got:
                 at, name, share, first = zip(*got)
-                yield pd.DataFrame({"id": b["id"].iloc[list(at)].to_numpy(), "license": name, "containment": share, "first_word": first})
+                yield pa.record_batch([b.column(0).take(pa.array(at)), pa.array(name), pa.array(share, pa.float64()), pa.array(first, pa.int64())], names=["id", "license", "containment", "first_word"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, license string, containment double, first_word long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, license string, containment double, first_word long")
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,10 @@ def features(text: str | None) -> list[float]:
 TAILS = (0.01, 0.02, 0.04, 0.08, 0.15, 0.3, 0.5, 0.7, 0.85, 0.92, 0.96, 0.98, 0.99)
 
 
+def _matrix(texts: pa.Array) -> np.ndarray:
+    return np.array([features(t.as_py()) for t in texts], float).reshape(-1, len(FEATURES))
+
+
 class Model:
     """Bins of each feature and an additive weight for each bin."""
 
@@ -172,23 +177,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     through; an empty table gives no rows; no other column is read."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in b["text"]]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"id": b["id"], "score": model.score(x)})
+            yield pa.record_batch([b.column(0), pa.array(model.score(_matrix(b.column(1))))], names=["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``least``, as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in b["text"]]).reshape(-1, len(FEATURES))
-            yield b[model.score(x) >= least] if len(b) else b
+            yield b.filter(pa.array(model.score(_matrix(b.column(at))) >= least))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -57,3 +57,14 @@ def test_odd_inputs(make):
     assert {g.score for g in quality.score(docs, none).collect()} == {0.5}
     odd = docs.selectExpr("doc_id", "text", "1 as id", "2 as score", "3 as kind")
     assert quality.score(odd, quality.train(odd, make(labels, "doc_id long, quality int"))).count() == 105
+
+
+def test_large_ids_beside_null_ids_stay_exact(make):
+    from millrace.llm import licenses
+
+    big = 2**60 + 1
+    docs = make([(big, licenses.TEMPLATES["MIT"]), (None, "x")])
+    model = quality.fit(np.zeros((3, len(quality.FEATURES))), np.ones((3, len(quality.FEATURES))))
+    assert {r.id for r in quality.score(docs, model).collect()} == {big, None}
+    assert {r.doc_id for r in quality.keep_good(docs, model, 0.0).collect()} == {big, None}
+    assert [r.id for r in licenses.scan(docs).collect()] == [big]
