@@ -1,4 +1,5 @@
-"""Operator 7, SimHash near-dedup: 64-bit SimHash of word shingles, bit-sliced comparison, connected groups."""
+"""Operator 7, SimHash near-dedup: 64-bit SimHash of word shingles, bit-sliced comparison, connected groups; and the near-dedup of
+the pipeline, whose links are pairs of texts of at least a Jaccard similarity of word shingles, found by MinHash bands."""
 
 from __future__ import annotations
 
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import components, cut
 from .hamming import links
+from .line_dedup import _agreeing, _candidates, _compare, min_keys
 
 SEED, AT_ONCE = 42, 1 << 15
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4  # a pair at 0.8 shares a band with a chance of 0.9998
 
 
 def _votes(h: np.ndarray) -> np.ndarray:
@@ -70,10 +73,63 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
-def drop_near_copies(docs: DataFrame, **kw) -> DataFrame:
-    """Keep, of each group, the rows of the smallest doc_id; rows with a null doc_id go only if their group has another id."""
-    groups = simhash_groups(docs, **kw)
-    kept = groups.where("id <=> component").select(F.col("id").alias("kept_id")).distinct()
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the word shingles, words as in fingerprint; one shingle if there are fewer words, none without."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(len(words) - size + 1, 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def _set_keys(size: int):
+    """Id, node (a hash of the set of shingles) and band keys; an empty set has no keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, keys = [], []
+            for t in b.column(1):
+                s = shingles(t.as_py(), size)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                keys.append(min_keys(np.zeros(len(s), np.int64), s, 1, -1.0, BANDS, ROWS)[0].view(np.int64).tolist() if len(s) else [])
+            yield pa.record_batch([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+
+    return run
+
+
+def _named(size: int):
+    """Node and text; ids may repeat, so that an id doesn't name a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = [xxhash.xxh64_intdigest(shingles(t.as_py(), size).tobytes(), SEED) for t in b.column(1)]
+            yield pa.record_batch([pa.array(np.array(nodes, np.uint64).view(np.int64)), b.column(1)], names=["id", "text"])
+
+    return run
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Keep, of each group, the rows of the smallest doc_id; rows with a null doc_id go only if their group has another id.
+    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``; texts without
+    words are one group."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = cut(source.mapInArrow(_set_keys(shingle), f"id {kind}, node long, keys array<long>"))
+    keyed = rows.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
+    found = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates, "a long, b long, key long"))
+    pairs, large = found.where("key is null").select("a", "b").distinct(), found.where("key is not null").select("key", F.col("a").alias("id"))
+    wanted = pairs.select("a").union(pairs.select("b")).union(large.select("id")).distinct().withColumnRenamed("a", "node")
+    some = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("some")).select("some").distinct()
+    texts = source.join(some, source["id"].eqNullSafe(some["some"]), "left_semi").mapInArrow(_named(shingle), "id long, text string")
+    texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")))
+    agree = lambda a, b: jaccard(shingles(a, shingle), shingles(b, shingle)) >= similarity - 1e-12
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    edges = both.mapInPandas(_agreeing(agree), "a long, b long").unionByName(_compare(large.join(texts, "id").select("key", "id", F.lit(0).cast("long").alias("fp"), "text"), 64, agree))
+    rooted = rows.select("id", "node").join(components(edges), "node", "left").select("id", F.coalesce("component", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("id").alias("kept_id")).select("kept_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

@@ -105,3 +105,30 @@ def test_masks_cover_every_pair():
         assert all(x & m == m for x in finer(m, 2))
         rest = [x & ~m for x in finer(m, 2)]
         assert sum(rest) == ~m & (1 << 64) - 1
+
+
+def test_copies_are_dropped_at_jaccard(make):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(40):
+        w = [word() for _ in range(r.choice((60, 100, 200)))]
+        rows.append((2 * i, " ".join(w)))
+        for k in r.sample(range(len(w)), r.choice((1, 1, 2, 3))):
+            w[k] = word()
+        rows.append((2 * i + 1, " ".join(w)))
+    rows += [(100, None), (101, ""), (None, "a b"), (102, "A b"), (None, "no other text is like this one at all")]
+    rows += [(200 + i, " ".join(["very large group of near copies that differ in one last word only and in no other word at all so it is", f"w{i}"])) for i in range(30)]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    up = classes(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
+    least = {}
+    for (i, _), c in zip(rows, up):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    keep = set(least.values())
+    got = near_dedup.drop_near_copies(make(rows)).collect()
+    assert sorted(map(str, (g.doc_id for g in got))) == sorted(str(i) for i, _ in rows if i in keep)
+    linked = [i for i in range(0, 80, 2) if up[i] == up[i + 1]]
+    assert sum(bin(near_dedup.fingerprint(rows[i][1]) ^ near_dedup.fingerprint(rows[i + 1][1])).count("1") > 2 for i in linked) > 5
