@@ -1,5 +1,5 @@
-"""Operator 7, SimHash near-dedup: 64-bit SimHash of word shingles, bit-sliced comparison, connected groups; and the near-dedup of
-the pipeline, whose links are pairs of texts of at least a Jaccard similarity of word shingles, found by MinHash bands."""
+"""Operator 7, SimHash near-dedup: 64-bit SimHash of word shingles, bit-sliced comparison, connected groups; and the form
+for a given Jaccard similarity, where no radius of 64 bits serves: blocks of SimHashes, and exact Jaccard."""
 
 from __future__ import annotations
 
@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .blocks import block_keys, linked
+from .common import BitFilter, SpanHash, components, cut
 from .hamming import links
-from .line_dedup import _agreeing, _candidates, _compare, min_keys
 
 SEED, AT_ONCE = 42, 1 << 15
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4  # a pair at 0.8 shares a band with a chance of 0.9998
+SHINGLE, SIMILARITY, BLOCKS, PER_BLOCK = 5, 0.8, 16, 3
 
 
 def _votes(h: np.ndarray) -> np.ndarray:
@@ -76,61 +76,75 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of the word shingles, words as in fingerprint; one shingle if there are fewer words, none without."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = max(len(words) - size + 1, 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n))
+    if not words:
+        return np.empty(0, np.uint64)
+    line, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, k = np.r_[0, ends[:-1]], max(len(words) - size + 1, 1)
+    return np.unique(SpanHash(np.frombuffer(line, np.uint8))(starts[:k], ends[min(size, len(words)) - 1 :] - 1))
+
 
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of hashes, as bytes of ascending 64-bit numbers."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(len(a) + len(b) - both, 1)
+
+def _node(s: np.ndarray) -> int:
+    """The name of a set of shingles."""
+    return int(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
 def _set_keys(size: int):
-    """Id, node (a hash of the set of shingles) and band keys; an empty set has no keys."""
+    """Id, node and block keys of each text; the empty set has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, keys = [], []
-            for t in b.column(1):
-                s = shingles(t.as_py(), size)
-                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-                keys.append(min_keys(np.zeros(len(s), np.int64), s, 1, -1.0, BANDS, ROWS)[0].view(np.int64).tolist() if len(s) else [])
-            yield pa.record_batch([b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            sets = [shingles(t.as_py(), size) for t in b.column(1)]
+            keys = [block_keys(np.zeros(len(s), np.int64), s, np.ones(len(s)), BLOCKS, PER_BLOCK)[1].view(np.int64).tolist() for s in sets]
+            yield pa.record_batch([b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
 
     return run
 
 
-def _named(size: int):
-    """Node and text; ids may repeat, so that an id doesn't name a text."""
+def _sets(size: int, some):
+    """Node, size and hashes of the distinct sets of a batch that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = [xxhash.xxh64_intdigest(shingles(t.as_py(), size).tobytes(), SEED) for t in b.column(1)]
-            yield pa.record_batch([pa.array(np.array(nodes, np.uint64).view(np.int64)), b.column(1)], names=["id", "text"])
+            sets = {_node(s): s for t in b.column(0) if len(s := shingles(t.as_py(), size))}
+            nodes = np.array(list(sets), np.int64)
+            at = nodes[some.value.might_contain(nodes)] if len(nodes) else nodes
+            for lo in range(0, len(at), 256):
+                part = [sets[k] for k in at[lo : lo + 256].tolist()]
+                yield pa.record_batch([pa.array(at[lo : lo + 256]), pa.array([len(s) for s in part], pa.int64()), pa.array([s.tobytes() for s in part], pa.binary())], names=["id", "size", "value"])
 
     return run
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Keep, of each group, the rows of the smallest doc_id; rows with a null doc_id go only if their group has another id.
-    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``; texts without
-    words are one group."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity`` and their
+    SimHash fingerprints share a block (see ``blocks``; PER_BLOCK shingles a block, so that a pair at 0.8 misses all
+    BLOCKS with a chance of about (1 - 0.8**PER_BLOCK)**BLOCKS = 1e-5). Texts without words, null ones too, are one
+    group. Equal texts are one node however many there are; repeated rows of the id that stays all stay; an empty
+    table gives no rows; other columns pass through."""
+    kind, spark = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession
     source = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = cut(source.mapInArrow(_set_keys(shingle), f"id {kind}, node long, keys array<long>"))
-    keyed = rows.select(F.explode("keys").alias("key"), F.col("node").alias("id"))
-    found = cut(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates, "a long, b long, key long"))
-    pairs, large = found.where("key is null").select("a", "b").distinct(), found.where("key is not null").select("key", F.col("a").alias("id"))
-    wanted = pairs.select("a").union(pairs.select("b")).union(large.select("id")).distinct().withColumnRenamed("a", "node")
-    some = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("some")).select("some").distinct()
-    texts = source.join(some, source["id"].eqNullSafe(some["some"]), "left_semi").mapInArrow(_named(shingle), "id long, text string")
-    texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")))
-    agree = lambda a, b: jaccard(shingles(a, shingle), shingles(b, shingle)) >= similarity - 1e-12
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    edges = both.mapInPandas(_agreeing(agree), "a long, b long").unionByName(_compare(large.join(texts, "id").select("key", "id", F.lit(0).cast("long").alias("fp"), "text"), 64, agree))
-    rooted = rows.select("id", "node").join(components(edges), "node", "left").select("id", F.coalesce("component", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("id").alias("kept_id")).select("kept_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    # one row a node before the keys are dealt
+    keyed = rows.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), F.col("node").alias("id"))
+
+    def values(wanted: DataFrame) -> DataFrame:
+        some = spark.sparkContext.broadcast(BitFilter.of(wanted, "id"))
+        sets = source.select("text").mapInArrow(_sets(shingle, some), "id long, size long, value binary")
+        return cut(sets.groupBy("id").agg(F.first("size").alias("size"), F.first("value").alias("value")).join(wanted, "id", "left_semi"))
+
+    groups = linked(keyed, values, similarity, [lambda a, b: jaccard(a, b) >= similarity - 1e-12])
+    rooted = rows.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("id").alias("_kept")).select("_kept").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
