@@ -88,14 +88,14 @@ def pairs_within(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tup
                 counters[k], carry = counters[k] ^ carry, counters[k] & carry
             over |= carry
             if b % 8 == 7:  # abandon words in which all pairs have exceeded the radius
-                beyond = over | _exceeds(counters, radius)
+                beyond = over | exceeds(counters, radius)
                 live = beyond != np.uint64(0xFFFFFFFFFFFFFFFF)
                 if not live.all():
                     at, over, counters = at[live], over[live], [c[live] for c in counters]
                     if not len(at):
                         break
         if len(at):
-            hit = ~(over | _exceeds(counters, radius))
+            hit = ~(over | exceeds(counters, radius))
             lanes = np.unpackbits(hit.view(np.uint8).reshape(len(at), 8), axis=1, bitorder="little")
             w, lane = np.nonzero(lanes)
             i = at[w] * 64 + lane
@@ -103,7 +103,7 @@ def pairs_within(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tup
                 yield i, i + d
 
 
-def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
+def exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     """Bitwise: the counter is over ``radius``."""
     gt, eq = np.zeros_like(counters[0]), np.full_like(counters[0], 0xFFFFFFFFFFFFFFFF)
     for k in reversed(range(len(counters))):
