@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,14 +46,39 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from each node to the smallest node of its component, by chunks of edges."""
+
+    def stars(chunk: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate(chunk, axis=1), return_inverse=True)
+        f = Forest(len(nodes))
+        for i, j in zip(*at.reshape(2, -1).tolist()):
+            f.join(i, j)
+        root = np.array([f.root(i) for i in range(len(nodes))], np.int64)
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.record_batch([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+
+    chunk, n = [], 0
+    for b in batches:
+        chunk.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+        n += b.num_rows
+        if n >= 1 << 18:
+            yield stars(chunk)
+            chunk, n = [], 0
+    if n:
+        yield stars(chunk)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): one row (node, component) per node that has an edge to
     another node; component is the smallest node reachable. Null ends and self-loops are ignored.
 
-    Alternating large-star and small-star contraction: every round is two hash aggregations and two equi-joins with
-    at most as many edges as before, and each round is checkpointed. Nothing is gathered on the driver but one count
-    and one checksum a round."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct())
+    Every task first replaces the edges of a batch by a star for each of their components, which shortens paths. Then
+    large-star and small-star contraction alternate: every round is two hash aggregations and two equi-joins with at
+    most as many edges as before, and each round is checkpointed. Nothing is gathered on the driver but one count and
+    one checksum a round."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
+    e = cut(e.mapInArrow(_stars, "u long, v long").distinct())
     state = None
     while True:
         new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -85,6 +113,17 @@ class BitFilter:
         words[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).view(np.uint64)
         return cls(words, log2_bits)
 
+    def maybe(self, spark: SparkSession):
+        """A function of a long column: whether the filter may contain it; false for null."""
+        bits = spark.sparkContext.broadcast(self)
+
+        @F.pandas_udf("boolean")
+        def maybe(h: pd.Series) -> pd.Series:
+            known = h.notna().to_numpy()
+            return pd.Series(bits.value.might_contain(h.fillna(0).to_numpy(np.int64)) & known)
+
+        return maybe
+
     def might_contain(self, keys: np.ndarray) -> np.ndarray:
         k = keys.view(np.uint64) if keys.dtype == np.int64 else keys
         out = np.ones(len(k), bool)
