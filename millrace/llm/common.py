@@ -46,10 +46,10 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges from each node to the smallest node of its component, by chunks of edges."""
 
-    def stars(chunk: list[np.ndarray]) -> pa.RecordBatch:
+    def star(chunk: list[np.ndarray]) -> pa.RecordBatch:
         nodes, at = np.unique(np.concatenate(chunk, axis=1), return_inverse=True)
         f = Forest(len(nodes))
         for i, j in zip(*at.reshape(2, -1).tolist()):
@@ -63,10 +63,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
         n += b.num_rows
         if n >= 1 << 18:
-            yield stars(chunk)
+            yield star(chunk)
             chunk, n = [], 0
     if n:
-        yield stars(chunk)
+        yield star(chunk)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
     most as many edges as before, and each round is checkpointed. Nothing is gathered on the driver but one count and
     one checksum a round."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
-    e = cut(e.mapInArrow(_stars, "u long, v long").distinct())
+    e = cut(e.mapInArrow(stars, "u long, v long").distinct())
     state = None
     while True:
         new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
