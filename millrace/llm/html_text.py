@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 from .common import read
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements whose content isn't markup; without an end tag the first two run to the end, as browsers have it, and the
+#: others are taken as empty, so that no text behind them is lost.
+RAW = ("script", "style", "title", "textarea", "iframe")
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mi mo mn ms mrow mtext msup msub mfrac msqrt object svg".split())
 #: A start tag ends these open elements first.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 
@@ -40,6 +43,7 @@ class Page:
         self.tag, self.parent, self.words, self.label = ["#page"], [-1], [()], [None]
         self.runs: list[tuple[int, int, str]] = []  # element, block, text
         self._open, self._count, self._block = [0], Counter(), 0
+        self._none: dict[str, bool] = {}  # what the rest of the page is known not to hold
         at = 0
         while True:
             lt = source.find("<", at)
@@ -47,24 +51,51 @@ class Page:
                 self._text(source[at:])
                 break
             self._text(source[at:lt])
-            m = MARKUP.match(source, lt)
+            if source.startswith("<!--", lt):
+                end = self._find(source, "-->", lt + 4)
+                at = end + 3 if end >= 0 else len(source)
+                continue
+            if source.startswith(("<!", "<?"), lt):
+                end = self._find(source, ">", lt + 2)
+                at = end + 1 if end >= 0 else len(source)
+                continue
+            m = TAG.match(source, lt)
             if m is None:  # a plain less-than sign
                 self._text("<")
                 at = lt + 1
                 continue
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
+            end = self._tag_end(source, m.end())
+            at, tag, attributes = min(end + 1, len(source)), m[2].lower(), source[m.end() : end]
             if m[1]:
                 self._end(tag)
                 continue
-            self._start(tag, m[3])
-            if tag in RAW and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = close.end() if close else len(source)
+            self._start(tag, attributes)
+            if tag in RAW and not attributes.endswith("/"):
+                close = None if self._none.get(tag) else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                self._none[tag] = close is None
+                if close:
+                    at = close.end()
+                elif tag in RAW[:2]:
+                    at = len(source)
                 self._pop()
 
+    def _find(self, source: str, what: str, at: int) -> int:
+        """As find; a failure is remembered, so that a page is searched for what it lacks only once."""
+        if self._none.get(what):
+            return -1
+        got = source.find(what, at)
+        self._none[what] = got < 0
+        return got
+
+    def _tag_end(self, source: str, at: int) -> int:
+        """Where the tag's ``>`` is, quoted ones skipped, or the page's end; a quote that nothing closes is a character."""
+        while m := STOP.search(source, at):
+            if m[0] == ">":
+                return m.start()
+            close = self._find(source, m[0], m.end())
+            at = close + 1 if close >= 0 else m.end()
+        return len(source)
+
     def _text(self, s: str) -> None:
         if s:
             self.runs.append((self._open[-1], self._block, s))
@@ -131,6 +162,7 @@ class Page:
         out = []
         for e in range(n):
             f = [f"tag {self.tag[e]}", f"length {min(chars[e], 4000).bit_length() // 2}", f"stops {min(stops[e], 3)}", f"links {4 * linked[e] // chars[e] if chars[e] else -1}"]
+            f.append(f"share {4 * chars[e] // chars[0] if chars[0] else -1}")
             f += [f"word {w}" for w in dict.fromkeys(self.words[e])]
             out.append(f)
         if n == 1:
@@ -266,6 +298,11 @@ def labelled_pages(n: int = 700, seed: int = 7) -> list[str]:
         return f'<{tag} data-label="0"{"" if plain else named(words)}>{inner}</{tag}>'
 
     pages = [prose(1, 400) for _ in range(max(1, n // 20))]
+    for _ in range(max(1, n // 6)):  # short pages of nothing but an article, in any plain elements
+        inner = "".join(f"<p>{prose(3, 40)}</p>" for _ in range(r.randint(1, 3)))
+        for _ in range(r.randint(0, 3)):
+            inner = f"<{(tag := r.choice(['div', 'section', 'article', 'main']))}>{inner}</{tag}>"
+        pages.append(f'<html data-label="0"><head><title>{prose(2, 9)}</title></head><body data-label="1">{inner}</body></html>' if r.random() < 0.7 else f'<body data-label="1">{inner}</body>')
     while len(pages) < n:
         body = [f"<{r.choice(['h1', 'h1', 'h2'])}>{prose(2, 14)}</h1>"]
         for _ in range(r.randint(1, 14)):
@@ -279,6 +316,10 @@ def labelled_pages(n: int = 700, seed: int = 7) -> list[str]:
                 body.append("<ul>" + "".join(f"<li>{prose(2, 25)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
             elif k < 0.84:
                 body.append(f"<blockquote><p>{prose(4, 60)}</p></blockquote>")
+            elif k < 0.87:
+                t = r.choice(["em", "code", "span", "object", "sub", "cite", "svg", "math"])
+                bit = "".join(f"<{m}>{word()[:2]}</{m}>" for m in r.choices(["mi", "mo", "mn"], k=3)) if t == "math" else word()
+                body.append(f"<p>{prose(2, 30)} <{t}>{bit}</{t}> {prose(2, 30)}</p>")
             elif k < 0.9:
                 body.append(f"<p>{prose(2, 30)} <a href='/{word()}'>{prose(1, 4)}</a> {prose(2, 30)}</p>")
             else:
@@ -306,7 +347,8 @@ def default_model() -> Model:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = (), model: Model | None = None) -> DataFrame:
     """``id, *keep, text`` of every page, without a shuffle. Null, empty and markup-only pages have an empty text;
     a page without markup is its text; repeated rows and null ids pass through; an empty table gives no rows; columns
-    not named in ``keep`` are ignored. Pages of any length are parsed whole, in linear time."""
+    not named in ``keep`` are ignored, and names in ``keep`` may be any but ``id`` and ``text``. Pages of any length are
+    parsed whole; no part of one is searched again and again for what it lacks."""
     model = model or default_model()
     cols = [F.col(id_col).alias("id"), *keep]
     schema = pages.select(*cols).schema.add("text", "string")

@@ -9,20 +9,20 @@ expressions; the driver sees the class tables, one vector of domain totals a rou
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, lowest, read, table
 
-#: Most labelled documents that the tables are counted from, and words that they keep.
+#: Most labelled documents that the tables are counted from, and features of the classifier: the words that tell the
+#: domains apart best, by chi-square over all words of those documents.
 FIT_ROWS, FIT_WORDS = 20_000, 160
 #: A word this many times likelier in one domain than in any other tells something by its absence too.
 SPECIFIC = 3.0
-#: Target shares of the expected tokens. The total gives the first domain HEADROOM times the tokens it has, so that
-#: documents surely of that domain have a rate of 1 or more and stay.
+#: What the query and the pipeline ask for: shares of the expected tokens; the total gives the first domain HEADROOM
+#: times the tokens it has, so that documents surely of that domain have a rate of 1 or more and stay.
 TARGETS, HEADROOM = {"clean": 0.975, "low": 0.005, "toxic": 0.02}, 1.1
 MARK_EDGES, DISTINCT_EDGES, LENGTH_EDGES = (0.001, 0.05, 0.2, 0.5), (0.15, 0.3, 0.45, 0.6, 0.75, 0.9), (8, 32, 128, 512, 2048)
 MARKS = ("!", "*", "%", "$", "&", "#", "|")
@@ -81,7 +81,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], fit_rows: in
     """Count the tables from at most ``fit_rows`` rows of ``labelled(doc_id, domain)``, taken in the order of a hash of
     the id. With no labelled rows every posterior is flat."""
     k = len(domains)
-    chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.lit("mix"), "doc_id"), "doc_id").limit(fit_rows)
+    chosen = lowest(labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()), F.xxhash64(F.lit("mix"), "doc_id"), fit_rows)
     rows = docs.select("doc_id", _words(F.col("text")).alias("w")).join(F.broadcast(chosen), "doc_id").select("domain", "w")  # at most fit_rows ids
     rows = rows.select("domain", F.array_distinct("w").alias("w"), _tokens(F.col("w")).alias("n"), _odd(F.col("w")).alias("odd"))
     rows = cut(rows.select("domain", "w", *[c.alias(f"b{i}") for i, c in enumerate(_surface(F.col("n"), F.col("odd"), F.size("w")))]))
@@ -119,27 +119,20 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def members(docs: DataFrame, tables: Tables, levels: int | None = None) -> DataFrame:
-    """``docs`` with ``_m``: ``tokens`` (white-space words) and ``p`` (posteriors in steps of 1/levels, summing to 1).
+def members(docs: DataFrame, tables: Tables) -> DataFrame:
+    """``row`` (the columns of docs), ``tokens`` (white-space words) and ``p`` (the posteriors of the domains, summing to 1).
     The one-row generator keeps Catalyst from computing the expression anew wherever it is used."""
-    k = len(tables.domains)
-    levels = levels or next(n for n in (1000, 500, 200, 100, 50, 20, 10, 4) if comb(n + k - 1, k - 1) <= 1 << 20 or n == 4)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-
-    def snapped(score: Column) -> Column:
-        """Shares of exp(score) as whole levels; what rounding leaves over goes to the largest."""
-        shares = _let(F.transform(score, lambda x: F.exp(x - F.array_max(score))), lambda e: _let(total(e), lambda t: F.transform(e, lambda x: F.floor(x / t * levels + 0.5).cast("double"))))
-        rest = lambda q: F.transform(q, lambda x, i: (F.when(i + 1 == F.array_position(q, F.array_max(q)), x + levels - total(q)).otherwise(x)) / levels)
-        return _let(shares, rest)
-
+    shares = lambda score: _let(F.transform(score, lambda x: F.exp(x - F.array_max(score))), lambda e: _let(total(e), lambda t: F.transform(e, lambda x: x / t)))
     vocabulary = F.array(*[F.lit(w) for w in tables.words]) if tables.words else F.array().cast("array<string>")
 
     def member(words: Column) -> Column:
         seen = F.struct(_tokens(words).alias("n"), _odd(words).alias("odd"), F.size(F.array_distinct(words)).alias("distinct"), F.array_intersect(words, vocabulary).alias("known"))
         score = lambda v: tables.scores(v.getField("known"), _surface(v.getField("n"), v.getField("odd"), v.getField("distinct")))
-        return _let(seen, lambda v: F.struct(v.getField("n").alias("tokens"), _let(score(v), snapped).alias("p")))
+        return _let(seen, lambda v: F.struct(v.getField("n").alias("tokens"), _let(score(v), shares).alias("p")))
 
-    return docs.withColumn("_m", F.explode(F.array(_let(_words(F.col("text")), member))))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return packed.select("row", F.explode(F.array(_let(_words(F.col("row").getField("text")), member))).alias("m")).select("row", "m.tokens", "m.p")
 
 
 def rate(p: Column, steps: list[np.ndarray]) -> Column:
@@ -151,64 +144,82 @@ def rate(p: Column, steps: list[np.ndarray]) -> Column:
     return _let(p, lambda q: F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(q, g))))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], rounds: int = 16, tolerance: float = 1e-4) -> tuple[list[np.ndarray], dict]:
+def fit_rates(rows: DataFrame, targets: list[float], headroom: float | None = None, rounds: int = 200, tolerance: float = 1e-4) -> tuple[list[np.ndarray], dict]:
     """Steps for ``rate`` that fit ``rows(tokens, p)`` to the target shares, and what was reached.
 
-    The rate depends on a document only through its posterior, and posteriors lie on a grid, so the rows are summed by
-    posterior once; the rounds run over that table, whose size the grid bounds. A step follows the projected gradient
-    with the residuals weighted by the inverse Gram matrix of the rows with a rate, under which its Lipschitz constant
-    is 1. The best of ``rounds`` steps is kept. Rows without tokens, or an empty table, keep the rate 1."""
+    Every round is one aggregation over all rows; the driver sees the totals of the domains. A step follows the
+    projected gradient with the residuals weighted by the inverse Gram matrix of the rows with a rate, under which its
+    Lipschitz constant is 1. Rounds end when all totals are within ``tolerance`` of the targets' sum, or when five
+    rounds have brought nothing, which is the least-squares fit of targets that can't be met; ``converged`` tells which.
+    If ``rounds`` are used up before either, it raises. Rows without tokens, or an empty table, keep the rate 1. The
+    total is that of the rows, or gives the first domain ``headroom`` times the tokens it has."""
     k = len(targets)
     share = np.array(targets) / sum(targets)
-    cells = cut(rows.groupBy("p").agg(F.sum("tokens").cast("double").alias("t")).where("t > 0"))
+    kept = table(rows.select(F.col("tokens").cast("double").alias("t"), "p").where("t > 0"))
     at = lambda i: F.element_at("p", i + 1)
 
     def state(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens of each domain, and the Gram matrix of the rows whose rate isn't zero."""
-        rated = cells.select("t", "p", rate(F.col("p"), steps).alias("r"))
+        rated = kept.select("t", "p", F.explode(F.array(rate(F.col("p"), steps))).alias("r"))
         sums = [F.sum(F.col("t") * F.col("r") * at(i)) for i in range(k)]
         got = rated.agg(*sums, *[F.sum(F.when(F.col("r") > 0, F.col("t") * at(i) * at(j)).otherwise(0.0)) for i in range(k) for j in range(k)]).first()
         got = np.array([x or 0.0 for x in got])
         return got[:k], got[k:].reshape(k, k)
 
     now, gram = state([])
-    want = share * (HEADROOM * now[0] / share[0] if share[0] > 0 and now[0] > 0 else now.sum())
-    steps, best, least = [], [], np.inf
+    want = share * (headroom * now[0] / share[0] if headroom and share[0] > 0 and now[0] > 0 else now.sum())
+    steps, best, reached, least, since = [], [], now, np.inf, 0
     for _ in range(rounds if now.sum() > 0 else 0):
-        if (miss := np.abs(now - want).max() / want.sum()) < least:
-            best, least = list(steps), miss
-        if miss <= tolerance:
+        miss = np.linalg.norm(now - want) / want.sum()
+        since = 0 if miss < least * (1 - 1e-3) else since + 1
+        if miss < least:
+            best, reached, least = list(steps), now, miss
+        if least <= tolerance or since >= 5:
             break
         steps.append(np.linalg.solve(gram + 1e-9 * np.trace(gram) * np.eye(k) + 1e-300 * np.eye(k), now - want))
         now, gram = state(steps)
     else:
-        if now.sum() > 0 and np.abs(now - want).max() / want.sum() < least:
-            best = list(steps)
-    return best, {"tokens": now.tolist(), "targets": want.tolist()}
+        if now.sum() > 0:
+            raise RuntimeError(f"rates not fitted in {rounds} rounds: {now} of {want}")
+    return best, {"tokens": reached.tolist(), "targets": want.tolist(), "converged": bool(least <= tolerance)}
+
+
+@dataclass
+class Fit:
+    """The classifier, the steps of the rates, and the totals that they reach."""
 
+    tables: Tables
+    steps: list[np.ndarray]
+    reached: dict
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix") -> DataFrame:
-    """``docs`` with ``_m`` (see members), ``_rate`` and ``_copies``, without a shuffle of the texts. A document is emitted ``_copies``
-    times: the whole part of its rate, and once more with the chance of the rest, drawn from a hash of its id.
+
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], headroom: float | None = None) -> Fit:
+    tables = train(docs, labelled, list(targets))
+    # only posteriors are kept for the fit; the texts are read again for the copies
+    return Fit(tables, *fit_rates(members(docs, tables).select("tokens", "p"), list(targets.values()), headroom))
+
+
+def mix(docs: DataFrame, fitted: Fit, seed: str = "mix") -> DataFrame:
+    """``row`` (the columns of ``docs``, whatever their names), ``tokens`` and ``p`` (see members), ``rate`` and
+    ``copies``, without a shuffle of the texts. A document is emitted ``copies`` times: the whole part of its rate, and
+    once more with the chance of the rest, drawn from a hash of its id.
 
     Null and empty texts have no tokens and a posterior like any short text; rows with equal ids draw alike; a null id
     draws like any other; with no labels all posteriors are flat; an empty table gives no rows."""
-    targets = targets or TARGETS
-    tables = train(docs, labelled, list(targets))
-    rows = members(docs, tables)
-    # the texts are read again for the copies; only posteriors are kept for the fit
-    steps, _ = fit_rates(rows.select("_m.tokens", "_m.p"), list(targets.values()))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 53)) / float(1 << 53)
-    return rows.withColumn("_rate", rate(F.col("_m.p"), steps)).withColumn("_copies", F.floor(F.col("_rate") + draw).cast("int"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "row.doc_id"), F.lit(1 << 53)) / float(1 << 53)
+    rated = members(docs, fitted.tables).select("row", "tokens", "p", F.explode(F.array(rate(F.col("p"), fitted.steps))).alias("rate"))
+    return rated.select("*", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as many times as its copies say."""
-    got = mix(docs, labelled, targets).where("_copies > 0")
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], headroom: float | None = None) -> DataFrame:
+    """The mixed corpus: the rows of ``docs``, each as many times as its copies say (see mix)."""
+    got = mix(docs, fit(docs, labelled, targets, headroom)).where("copies > 0")
+    return got.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    got = mix(read(spark, sf_dir, "documents").select("doc_id", "text"), domain_labels(read(spark, sf_dir, "labels")))
-    p = [F.element_at("_m.p", i + 1).alias(f"p_{d}") for i, d in enumerate(TARGETS)]
-    return got.select("doc_id", F.col("_m.tokens").alias("tokens"), *p, F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    """Every document: doc_id, its tokens, posteriors by domain, rate and copies."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    got = mix(docs, fit(docs, domain_labels(read(spark, sf_dir, "labels")), TARGETS, HEADROOM))
+    p = [F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(TARGETS)]
+    return got.select("row.doc_id", "tokens", *p, "rate", "copies")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lowest, read
 
 #: Most labelled positives, and most unlabelled rows, that a fit looks at.
 FIT_ROWS = 12_000
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     a hash of the id. Conflicting labels of a document count as not positive."""
     key = F.xxhash64(F.lit("fit"), "doc_id")
     positive = labels.where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null").select("doc_id")
-    ids = lambda df, kind: df.orderBy(key, "doc_id").limit(fit_rows).select("doc_id", F.lit(kind).alias("kind"))
+    ids = lambda df, kind: lowest(df, key, fit_rows).select("doc_id", F.lit(kind).alias("kind"))
     chosen = ids(positive, 1).unionByName(ids(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id"), 0))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("kind", "text")  # at most 2 * fit_rows ids
 

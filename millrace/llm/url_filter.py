@@ -6,6 +6,8 @@ PageRank over host edges; a host whose distrust outweighs its trust is blocked.
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .common import LOWER, UPPER, cut, read
 
 #: (rule, verdict); a rule is a host, a slash and the start of a path.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
 #: A host is blocked if distrust makes up more than this share of its trust and distrust.
 DISTRUST = 0.5
 
@@ -46,20 +48,21 @@ def links(pages: DataFrame) -> DataFrame:
     return found.where("a <> '' and b <> '' and a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank ``h, score`` of ``edges(a, b, w)``, where w sums to 1 over each a, from ``seeds(h, s)``
-    of total 1. A host without edges out gives its score to no one. Ranks are checkpointed every round; the driver
-    sees one number a round."""
+    of total 1. A host without edges out gives its score to no one. What moves shrinks by ``damping`` every round, so
+    that the rounds that bring it below ``tolerance`` are bounded; if they don't, it raises. Ranks are checkpointed
+    every round; the driver sees one number a round."""
     base = seeds.select("h", (F.col("s") * (1 - damping)).alias("score"))
     rank = cut(base)
-    for _ in range(rounds):
+    for _ in range(ceil(log(tolerance) / log(damping)) + 2):
         sent = rank.join(edges, rank["h"] == edges["a"]).groupBy("b").agg(F.sum(F.col("score") * F.col("w") * damping).alias("score"))
         new = cut(base.unionByName(sent.select(F.col("b").alias("h"), "score")).groupBy("h").agg(F.sum("score").alias("score")))
         moved = new.select("h", "score").unionByName(rank.select("h", (-F.col("score")).alias("score"))).groupBy("h").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0]
         rank = new
         if not moved or moved < tolerance:
-            break
-    return rank
+            return rank
+    raise RuntimeError(f"ranks still move by {moved}")
 
 
 def host_scores(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

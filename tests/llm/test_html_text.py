@@ -69,3 +69,28 @@ def test_operator(make, spark):
     got = sorted((str(g.id), g.text) for g in html_text.extract(make(rows, s), keep=("url",)).collect())
     assert got == sorted([("1", ""), ("2", ""), ("3", ""), ("None", SAID), ("4", "just a text, no markup. It is one."), ("5", " ".join([SAID] * 3000)), ("5", "")])
     assert html_text.extract(make([], s)).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["<svg><path d='m'>", "<object data=x>", "<select><option>", "<math><mi>", "<textarea>", "<iframe src=x>", "<noscript>", "<template>"])
+def test_unclosed_elements_lose_no_article(odd):
+    got = MODEL.text(page(f"<article>{BODY}{odd}{BODY}</article>"))
+    assert got.startswith(SAID) and got.endswith(SAID)
+
+
+def test_formulas_and_fallbacks_are_text():
+    said = "The sum of <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is a number that we will use below, as shown."
+    assert MODEL.text(page(f"<article>{BODY}<p>{said}</p></article>")).endswith("The sum of x+y is a number that we will use below, as shown.")
+
+
+@pytest.mark.parametrize("source", ["<body><div><p>Hello world, this is a fairly long paragraph.</p></div></body>", "<article><p>Hello world, this is</p> <p>a fairly long paragraph.</p></article>", "<p>Hello world, this is a fairly long paragraph.</p>"])
+def test_short_pages(source):
+    assert MODEL.text(source) == "Hello world, this is a fairly long paragraph."
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for piece, end in (("<a ", '"'), ("<", ""), ("<!--", ""), ("<a '", ""), ("<title>", ""), ("<script", ""), ("<a \"' ", "")):
+        began = time.perf_counter()
+        html_text.Page(piece * 40_000 + end)
+        assert time.perf_counter() - began < 5

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import corpus_pipeline as P
 from millrace.llm import mixing, quality
 from tests.llm.test_bpe import PATTERN, RANKS
 from tests.llm.test_line_dedup import brute
-from tests.llm.test_near_dedup import classes, slow_fingerprint
+from tests.llm.test_near_dedup import classes
 from tests.llm.test_quality import corpus
 
 
@@ -53,14 +54,19 @@ def test_quality(stages, spark, sf_dir):
 
 
 def test_line_dedup(stages):
+    """All pairs compared by edit similarity; a pair that is similar but shares no block may only leave more lines."""
     rows = [(r.doc_id, r.text) for r in stages[1]]
     assert sorted((str(r.doc_id), str(r.text)) for r in stages[2]) == brute(rows)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in stages[2])
 
 
 def test_near_dedup(stages):
-    rows = stages[2]
-    up = classes([slow_fingerprint(r.text) for r in rows], lambda a, b: bin(a ^ b).count("1") <= 2)
+    """All pairs compared by the Jaccard similarity of five-word shingles."""
+    rows, sets = stages[2], []
+    for r in rows:
+        w = (r.text or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    up = classes(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
     least = {}
     for r, c in zip(rows, up):
         ids = [x for x in (least.get(c), r.doc_id) if x is not None]
@@ -70,11 +76,15 @@ def test_near_dedup(stages):
 
 
 def test_mixing(stages, spark, sf_dir):
+    """Rows stay or repeat as a whole, and the tokens by posterior, as drawn, are near the targets."""
     docs = spark.read.parquet(f"{sf_dir}/stage2")
-    labels = mixing.domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = {str(r.doc_id): r._copies for r in mixing.mix(docs, labels).collect()}
-    want = [r for r in stages[3] for _ in range(copies[str(r.doc_id)])]
-    assert key(stages[4]) == key(want)
+    fitted = mixing.fit(docs, mixing.domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")), mixing.TARGETS, mixing.HEADROOM)
+    p = {repr(r.row): (r.tokens, r.p, r.rate) for r in mixing.mix(docs, fitted).collect()}
+    n = Counter(map(repr, stages[4]))
+    assert set(n) <= set(map(repr, stages[3]))
+    assert all(int(rate) <= n[row] / m <= int(rate) + 1 for row, m in Counter(map(repr, stages[3])).items() for rate in [p[row][2]])
+    expected = sum(m * p[row][0] * p[row][2] * np.array(p[row][1]) for row, m in Counter(map(repr, stages[3])).items())
+    assert np.allclose(expected, fitted.reached["tokens"], rtol=1e-6)
 
 
 def test_tokens_and_run(stages, spark, sf_dir):
