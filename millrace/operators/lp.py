@@ -174,6 +174,55 @@ def refine(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     return nodes
 
 
+def stable_colors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, color`` refined (see refine) until a round splits no class any more, over all models at once; the driver
+    sees one count a round, and every round splits a class, so they end."""
+    from millrace.functions.lineage import cut
+
+    nodes = cut(nodes.select("node", "color"))
+    classes = nodes.agg(F.count_distinct("color")).first()[0]
+    while True:
+        nodes = cut(refine(nodes, edges, 1))
+        now = nodes.agg(F.count_distinct("color")).first()[0]
+        if now <= classes:
+            return nodes
+        classes = now
+
+
+def compare_colors(colors: DataFrame) -> DataFrame:
+    """``a, b, wl_check`` for every two models of ``colors(model, node, color)``: whether their sets of colours are equal.
+    Models are compared by one digest of their sets."""
+    sets = colors.groupBy("model", "color").agg(F.lit(1)).groupBy("model").agg(F.sum(F.xxhash64("color").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.lit(1), "color").cast("decimal(38,0)")).alias("g"), F.count("*").alias("n"))
+    other = sets.select(F.col("model").alias("b"), *[F.col(c).alias(f"{c}2") for c in "hgn"])
+    return sets.join(other, F.col("model") < F.col("b")).select(F.col("model").alias("a"), "b", ((F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")) & (F.col("n") == F.col("n2"))).alias("wl_check"))
+
+
+def ambiguous_components(colors: DataFrame, edges: DataFrame) -> DataFrame:
+    """``model, node, color, component`` of the nodes of ``colors(model, node, color)`` that share their colour with another of
+    their model; component is the least node that edges between such nodes lead to."""
+    from millrace.functions.lineage import cut
+
+    many = colors.groupBy("model", "color").agg(F.count("*").alias("k")).where("k > 1").select("model", "color")
+    nodes = cut(colors.join(many, ["model", "color"]))
+    near = cut(edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b").distinct())
+    label = cut(nodes.select("node", F.col("node").alias("component")))
+    while True:
+        around = near.join(label.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
+        # to the least around, and then to where that one points
+        step = label.join(around, "node", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"))
+        ahead = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        new = cut(step.join(ahead, "component").select("node", F.least("component", "next").alias("component")))
+        if new.exceptAll(label).isEmpty():
+            return nodes.join(new, "node").select("model", "node", "color", "component")
+        label = new
+
+
+def determinable(colors: DataFrame, edges: DataFrame) -> DataFrame:
+    """``model, determinable``: whether all colours of a model are single, or every ambiguous component holds each once."""
+    twice = ambiguous_components(colors, edges).groupBy("model", "component", "color").agg(F.count("*").alias("k")).where("k > 1").select("model").distinct()
+    return colors.select("model").distinct().join(twice.withColumn("bad", F.lit(True)), "model", "left").select("model", F.col("bad").isNull().alias("determinable"))
+
+
 def _text(*xs: float) -> str:
     return ",".join(f"{np.float32(x):.6f}" for x in xs)
 
@@ -202,8 +251,13 @@ def _normal(m: dict, compat: bool, zero_rows: bool) -> dict:
     return {"vars": variables, "cons": cons}
 
 
-def _colors(m: dict) -> tuple[list[str], list[list[int]]]:
-    """Stable colours of variable then constraint nodes, and adjacency."""
+def initial(m: dict, compat: bool = True, zero_rows: bool = True) -> tuple[list[str], list[list[tuple[int, str]]]]:
+    """First colours of variable then constraint nodes of a parsed program, normalised, and neighbours with weights: the
+    rows of the tables that ``stable_colors`` takes."""
+    return _start(_normal(m, compat, zero_rows))
+
+
+def _start(m: dict) -> tuple[list[str], list[list[tuple[int, str]]]]:
     names = {v: i for i, v in enumerate(m["vars"])}
     kind, sense = {"C": 0, "B": 1, "I": 2}, {"=": 0, "<": -1, ">": 1}
     color = [_text(o, kind[t], lo, hi) for o, t, lo, hi in m["vars"].values()]
@@ -213,6 +267,12 @@ def _colors(m: dict) -> tuple[list[str], list[list[int]]]:
         for v, c in row.items():
             near[names[v]].append((len(names) + k, _text(c)))
             near[len(names) + k].append((names[v], _text(c)))
+    return color, near
+
+
+def _colors(m: dict) -> tuple[list[str], list[list[int]]]:
+    """Stable colours of variable then constraint nodes, and adjacency."""
+    color, near = _start(m)
     n = len(set(color))
     for _ in range(len(color)):
         color = [md5("|".join([c, *sorted(f"{color[j]}|{w}" for j, w in near[i])]).encode()).hexdigest() for i, c in enumerate(color)]

@@ -42,10 +42,10 @@ _FLAG_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '(?i)
 
 # ---- records and text
 
-@query("conversations", sql="SELECT conv_id, coalesce(trim(arg_max(text, turn) FILTER (WHERE role = 'user')), '') AS problem, coalesce(trim(arg_max(text, turn) FILTER (WHERE role = 'assistant')), '') AS answer FROM (SELECT conv_id, turn, role, max(text) AS text FROM conversations GROUP BY ALL) GROUP BY conv_id")
+@query("conversations", sql="SELECT conv_id, coalesce(trim(arg_max(text, turn) FILTER (WHERE role = 'user'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '') AS problem, coalesce(trim(arg_max(text, turn) FILTER (WHERE role = 'assistant'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '') AS answer FROM (SELECT conv_id, turn, role, max(text) AS text FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def last_turn_pair(c):
     t = c.groupBy("conv_id", "turn", "role").agg(F.max("text").alias("text"))
-    last = lambda r: F.coalesce(F.trim(F.max_by("text", F.when(F.col("role") == r, F.col("turn")))), F.lit(""))
+    last = lambda r: F.coalesce(T.bare_ends(F.max_by("text", F.when(F.col("role") == r, F.col("turn")))), F.lit(""))
     return t.groupBy("conv_id").agg(last("user").alias("problem"), last("assistant").alias("answer"))
 
 
@@ -187,11 +187,11 @@ def round_robin_order(d):
 
 
 @query("documents", sql="""
-WITH c AS (SELECT CASE lang WHEN 'en' THEN 'DP' WHEN 'de' THEN 'DT' WHEN 'fr' THEN 'DPS' END AS mode, count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY 1)
+WITH c AS (SELECT CASE lang WHEN 'en' THEN 'DP' WHEN 'de' THEN 'DT' ELSE 'DPS' END AS mode, count(*) AS n FROM documents GROUP BY 1)
 SELECT mode, n, least(n, CAST(round_even(80 * CASE mode WHEN 'DP' THEN 0.35 WHEN 'DT' THEN 0.25 ELSE 0.40 END, 0) AS BIGINT)) AS quota FROM c""")
 def mode_quota(d):
-    mode = F.when(F.col("lang") == "en", "DP").when(F.col("lang") == "de", "DT").when(F.col("lang") == "fr", "DPS")
-    n = d.where("lang <> 'es'").groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
+    mode = F.when(F.col("lang") == "en", "DP").when(F.col("lang") == "de", "DT").otherwise("DPS")
+    n = d.groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
     share = F.element_at(F.create_map(*[F.lit(x) for kv in vocab.MODE_SHARES.items() for x in kv]), F.col("mode"))
     return n.select("mode", "n", F.least("n", F.bround(80 * share).cast("long")).alias("quota"))
 
@@ -238,11 +238,11 @@ def round_plan(e):
 
 
 @query("events", sql="""
-WITH r AS (SELECT event_id, sha256(event_type || ':' || user_id) AS h FROM events), c AS (SELECT DISTINCT h FROM r WHERE event_id < 300)
+WITH r AS (SELECT event_id, sha256(event_type || ':' || user_id) AS h FROM events), c AS (SELECT DISTINCT sha256(event_type || ':' || user_id) AS h FROM events WHERE event_type = 'view' OR value > 100)
 SELECT h AS request_hash, count(*) AS requests FROM r WHERE h NOT IN (SELECT h FROM c) GROUP BY h""")
 def cache_misses(e):
-    r = e.select("event_id", F.sha2(F.concat_ws(":", "event_type", F.col("user_id").cast("string")), 256).alias("request_hash"))
-    return r.join(r.where("event_id < 300").select("request_hash").distinct(), "request_hash", "left_anti").groupBy("request_hash").agg(F.count("*").alias("requests"))
+    r = e.select("event_type", "value", F.sha2(F.concat_ws(":", "event_type", F.col("user_id").cast("string")), 256).alias("request_hash"))
+    return r.join(r.where("event_type = 'view' or value > 100").select("request_hash").distinct(), "request_hash", "left_anti").groupBy("request_hash").agg(F.count("*").alias("requests"))
 
 
 @query("documents", "labels", sql="SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -319,13 +319,56 @@ s AS (SELECT item_id, doc_id, round(sum(qtf * ln(1 + (nn - df + 0.5) / (df + 0.5
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, sha256(CAST(doc_id AS VARCHAR))) AS rank FROM s)
 SELECT item_id, doc_id, rank FROM r WHERE rank <= 5""")
 def bm25_topk(b, d):
-    got = retrieval.bm25(b.select(F.col("item_id").alias("query"), T.retrieval_tokens("text").alias("tokens")), d.select(F.col("doc_id").alias("item"), T.retrieval_tokens("text").alias("tokens")), 5)
+    # ids of items and documents are numbers of different things
+    got = retrieval.bm25(b.select(F.concat(F.lit("b"), "item_id").alias("query"), T.retrieval_tokens("text").alias("tokens")), d.select(F.col("doc_id").alias("item"), T.retrieval_tokens("text").alias("tokens")), 5)
+    return got.select(F.expr("cast(substring(query, 2) as bigint)").alias("item_id"), F.col("item").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+
+
+_BONUS_ITEMS = "SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS domain, 'src' || (item_id % 20) AS problem_type FROM benchmark"
+
+
+@query("benchmark", "documents", sql=f"""
+WITH b AS ({_BONUS_ITEMS}), p AS (SELECT doc_id, lang, source, {RETRIEVAL} AS tokens FROM documents), e AS (SELECT item_id, doc_id FROM b JOIN p ON item_id = doc_id),
+q AS (SELECT item_id, tok, count(*) AS qtf FROM (SELECT item_id, unnest({RETRIEVAL}) AS tok FROM b) GROUP BY ALL),
+d AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS tok FROM p), tf AS (SELECT doc_id, n, tok, count(*) AS tf FROM d GROUP BY ALL), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+st AS (SELECT b.item_id, (SELECT count(*) FROM p) - count(e.doc_id) AS nn, (SELECT sum(len(tokens)) FROM p) - coalesce(sum(len(x.tokens)), 0) AS ll FROM b LEFT JOIN e USING (item_id) LEFT JOIN p x ON x.doc_id = e.doc_id GROUP BY b.item_id),
+qd AS (SELECT q.item_id, q.tok, qtf, df - (SELECT count(*) FROM e JOIN tf USING (doc_id) WHERE e.item_id = q.item_id AND tf.tok = q.tok) AS df, nn, greatest(ll / greatest(nn, 1), 1.0) AS av FROM q JOIN df USING (tok) JOIN st ON st.item_id = q.item_id),
+s AS (SELECT item_id, doc_id, sum(qtf * ln(1 + (nn - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / av))) AS base FROM qd JOIN tf USING (tok) GROUP BY ALL),
+a AS (SELECT b.item_id, p.doc_id, p.source, round(coalesce(base, 0) + CASE WHEN b.domain = p.lang THEN {vocab.DOMAIN_BONUS} ELSE 0 END + CASE WHEN b.problem_type = p.source THEN {vocab.TYPE_BONUS} ELSE 0 END, 6) AS score FROM b CROSS JOIN p LEFT JOIN s ON s.item_id = b.item_id AND s.doc_id = p.doc_id WHERE b.item_id <> p.doc_id),
+u AS (SELECT *, sha256('17:' || item_id || ':' || doc_id) AS tie FROM a QUALIFY row_number() OVER (PARTITION BY item_id, doc_id // 2 ORDER BY score DESC, sha256('17:' || item_id || ':' || doc_id)) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, tie) AS rank FROM u)
+SELECT item_id, doc_id, rank FROM r WHERE rank <= 5""")
+def bm25_bonus(b, d):
+    """Examples by BM25 with bonuses, without the query's own item, one of each pair of documents that share a source key."""
+    domain = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "de")
+    queries = b.select(F.col("item_id").alias("query"), T.retrieval_tokens("text").alias("tokens"), domain.alias("domain"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("problem_type"))
+    key = F.concat(F.lit("k"), F.floor(F.col("doc_id") / 2).cast("string"))
+    pool = d.select(F.col("doc_id").alias("item"), T.retrieval_tokens("text").alias("tokens"), F.col("lang").alias("domain"), F.col("source").alias("problem_type"), key.alias("source_key"))
+    tie = lambda q, i: F.sha2(F.concat_ws(":", F.lit("17"), q.cast("string"), i.cast("string")), 256)
+    got = retrieval.bm25(queries, pool, 5, tie, {k: retrieval.BONUS[k] for k in ("domain", "problem_type")})
     return got.select(F.col("query").alias("item_id"), F.col("item").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("benchmark", "documents")
+_DRAW = "CAST('0x' || substr(sha256('17:{}:' || item_id), 1, 15) AS BIGINT)"
+
+
+@query("benchmark", "documents", sql=f"""
+WITH n AS (SELECT count(*) AS n FROM documents), pr AS (SELECT min(x) AS p FROM (SELECT unnest(range(greatest(n, 2), n + 1000)) AS x FROM n) c WHERE NOT EXISTS (SELECT 1 FROM range(2, 40000) t(d) WHERE d * d <= x AND x % d = 0)),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents),
+v AS (SELECT item_id, turn, ({_DRAW.format('start')} % p + turn * (1 + {_DRAW.format('step')} % (p - 1))) % p AS place FROM benchmark, pr, range(0, 64) t(turn)),
+m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY turn) AS rank FROM v JOIN p USING (place) WHERE item_id <> doc_id)
+SELECT item_id, doc_id, rank FROM m WHERE rank <= 5""")
 def fewshot_random(b, d):
-    return retrieval.random_examples(b.select(F.col("item_id").alias("query")), d.select(F.col("doc_id").alias("item")), 5, "17")
+    got = retrieval.random_examples(b.select(F.col("item_id").alias("query")), d.select(F.col("doc_id").alias("item")), 5, "17")
+    return got.select(F.col("query").alias("item_id"), F.col("item").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("documents")
+def diverse_selection(d):
+    """A tenth of the documents by mode quotas, round-robin over sources, none too similar to one before."""
+    mode = F.when(F.col("lang") == "en", "DP").when(F.col("lang") == "de", "DT").otherwise("DPS")
+    items = d.select(F.col("doc_id").alias("id"), T.token_set("text").alias("tokens"), mode.alias("mode"), "source")
+    return records.select_diverse(items, "mode", ["source"], ["id"], max(d.count() // 10, 1)).select(F.col("id").alias("doc_id"), "mode")
 
 
 # ---- linear programs, from orders and parts
@@ -381,6 +424,36 @@ def wl_determinable(li):
     return n.groupBy("side").agg(F.count("*").alias("classes"), F.max("n").alias("largest"), (F.max("n") == 1).alias("determinable"))
 
 
+_MODELS = """
+e AS (SELECT DISTINCT 'm' || l_linenumber AS model, 'm' || l_linenumber || 'o' || l_orderkey AS a, 'm' || l_linenumber || 'p' || l_partkey AS b, l_returnflag AS w FROM lineitem), ee AS (SELECT model, a, b, w FROM e UNION ALL SELECT model, b, a, w FROM e),
+c0 AS (SELECT DISTINCT model, a AS node, substr(a, length(model) + 1, 1) AS color FROM ee),
+c1 AS (SELECT c.model, c.node, md5(c.color || '|' || string_agg(n.color || '|' || w, '|' ORDER BY n.color || '|' || w)) AS color FROM c0 c JOIN ee ON ee.a = c.node JOIN c0 n ON n.node = ee.b GROUP BY c.model, c.node, c.color)"""
+
+
+def _models(li: DataFrame) -> tuple[DataFrame, DataFrame]:
+    model = F.concat(F.lit("m"), "l_linenumber")
+    name = lambda kind, key: F.concat(model, F.lit(kind), key)
+    e = li.select(name("o", "l_orderkey").alias("a"), name("p", "l_partkey").alias("b"), F.col("l_returnflag").alias("w"), model.alias("model")).distinct()
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "model"))
+    return both.select("model", F.col("a").alias("node"), F.substring("a", F.length("model") + 1, F.lit(1)).alias("color")).distinct(), both.select("a", "b", "w")
+
+
+@query("lineitem", sql=f"WITH {_MODELS}, s AS (SELECT model, list_sort(list(DISTINCT color)) AS colors FROM c1 GROUP BY model) SELECT x.model AS a, y.model AS b, x.colors = y.colors AS wl_check FROM s x JOIN s y ON x.model < y.model")
+def wl_equivalence(li):
+    """Whether the order-part graphs of two line numbers have the same colours after one round."""
+    nodes, edges = _models(li)
+    return lp.compare_colors(nodes.select("node", "model").join(lp.refine(nodes.select("node", "color"), edges, 1), "node"))
+
+
+@query("lineitem")
+def ambiguous_components(li):
+    """Ambiguous parts of the line numbers' graphs under stable colours: their nodes, parts, and whether a part holds a colour twice."""
+    nodes, edges = _models(li)
+    colors = nodes.select("node", "model").join(lp.stable_colors(nodes.select("node", "color"), edges), "node")
+    parts = lp.ambiguous_components(colors, edges).groupBy("model", "component").agg(F.count("*").alias("n"), F.count_distinct("color").alias("k"))
+    return parts.groupBy("model").agg(F.sum("n").alias("nodes"), F.count("*").alias("parts"), F.bool_or(F.col("n") > F.col("k")).alias("undecided"))
+
+
 # ---- corpus preparation
 
 _WEIGHTS = "SELECT 'src' || i AS path, CAST(i + 1 AS DOUBLE) AS weight FROM range(20) t(i)"

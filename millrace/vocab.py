@@ -104,6 +104,14 @@ QUESTION_TARGETS = (
     r"minimize the total number of ([a-z\- ]+?)$",
 )
 
+FERTILIZER_KEY = r"^The quantity of Fertilizer \d+$"
+FERTILIZER_PRICE = r"\$([0-9]+(?:\.[0-9]+)?)\s*per\s*100\s*pounds"
+FERTILIZER_TABLE_PRICE = r"\|\s*Fertilizer\s+\d+\s*\|[^\n]*?\|\s*([0-9]+(?:\.[0-9]+)?)\s*(?:\n|\|)"
+
+# What a prompt with examples says around them.
+EXAMPLES_SYSTEM = "\n\nYou will see solved examples from the same target before the current question. Use them only as format and modeling examples. Do not copy example-specific data."
+EXAMPLES_PROMPT = "The following are solved examples from the same target. They are not the current problem. Use them only as output-format and modeling examples. Do not copy example-specific data."
+
 # The shares of a selection by mode, and the largest similarity within it.
 MODE_SHARES = {"DP": 0.35, "DT": 0.25, "DPS": 0.40}
 MAX_SIMILARITY = 0.82

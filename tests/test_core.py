@@ -36,7 +36,7 @@ def test_messages(spark):
     got = df.select(T.last_message("messages", "user").alias("l"), T.first_message("messages", "user").alias("f"), T.last_message("messages", "assistant").alias("a")).collect()
     assert [tuple(g) for g in got] == [("u2", "u1", "a1"), ("", "", "")]
     shots = df.limit(1).select(retrieval.with_examples(F.col("messages"), F.array(F.struct(F.lit("q").alias("user"), F.lit("r").alias("assistant")))).alias("m")).first()["m"]
-    assert [m["content"] for m in shots] == ["s", "q", "r", " u1 ", "a1", "u2"]
+    assert [m["content"] for m in shots] == ["s" + vocab.EXAMPLES_SYSTEM, "[Few-shot example 1; not the current problem]\nq", "r", "[Current problem to solve]\n u1 ", "a1", "[Current problem to solve]\nu2"]
 
 
 @pytest.mark.parametrize(
@@ -84,7 +84,7 @@ def test_text_issues_and_gate(spark):
     ]
     lengths = spark.createDataFrame([("p" * 39, "a" * 80), ("p" * 40, "a" * 79), ("p" * 40, "a" * 80), ("sk-A" + "p" * 50, "a" * 30000)], "p string, a string").crossJoin(df.select("d").limit(1))
     got = [g.x for g in lengths.select(records.candidate_issues(F.col("p"), F.col("a"), F.col("d")).alias("x")).collect()]
-    assert got == [["problem_too_short"], ["answer_too_short"], [], ["too_long", "problem:private_api_or_key"]]
+    assert got == [["problem_too_short"], ["answer_too_short"], [], ["sample_too_long", "problem:private_api_or_key"]]
 
 
 def test_sanitize_and_ir(spark):
@@ -268,8 +268,9 @@ def test_solver_backend(spark):
 def test_retrieval(spark):
     pool = spark.createDataFrame([(i, ["w%d" % (i % 7), "w%d" % (i % 5), "all"]) for i in range(50)], "item long, tokens array<string>")
     q = spark.createDataFrame([(1, ["w1", "all"]), (2, ["w9"])], "query long, tokens array<string>")
-    got = retrieval.bm25(q, pool, 3, own=F.col("item") == F.col("query")).collect()
-    assert {g.query for g in got} == {1} and 1 not in {g["item"] for g in got} and len(got) == 3
+    got = retrieval.bm25(q, pool, 3).collect()
+    assert sorted(g.query for g in got) == [1, 1, 1, 2, 2, 2] and all(g["item"] != g.query for g in got)
+    assert all(g.score == 0 for g in got if g.query == 2)  # no shared token: filled up in the order of ties
     picks = retrieval.random_examples(q.select("query"), pool.select("item"), 5, "s").collect()
     assert len(picks) == 10 and len({(p.query, p["item"]) for p in picks}) == 10
 
