@@ -70,3 +70,10 @@ def conversions(lines: DataFrame) -> DataFrame:
 
 def index_map_name(prefix: str, split: str, samples: int, seed: int, padded: bool = False, shuffle: bool = True) -> str:
     return f"{prefix}_{split}_indexmap_{samples}ns_{seed}s{'_padded_samples' * padded}{'_shuffle' * shuffle}_decoder_packed_idx.npy"
+
+
+def training_volume(docs: DataFrame, tokens: Column, sequence: int, batch: int, iterations: int) -> DataFrame:
+    """``tokens, sequences, consumed, epochs``: of the data, and of a training run over it."""
+    total = docs.agg(F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("tokens"), F.count("*").alias("sequences"))
+    used = F.lit(batch * sequence * iterations).cast("long")
+    return total.select("tokens", "sequences", used.alias("consumed"), F.when(F.col("tokens") > 0, F.round(used / F.col("tokens"), 2)).otherwise(0.0).alias("epochs"))

@@ -54,3 +54,27 @@ def error_shares(classified: DataFrame, name: str = "error", correct: str = "cor
 def flag(value: Column) -> Column:
     """A reward counts as reached at 1 or more; anything that isn't a number doesn't."""
     return F.coalesce(value.cast("string").try_cast("double") >= 1, F.lit(False))
+
+
+def final_statistics(results: DataFrame, success: Column, unsupported: Column, api_error: Column, by: list[str] = ()) -> DataFrame:
+    """``total, evaluated, unsupported, successful, api_errors, accuracy``: samples without a usable ground truth count in
+    neither the successes nor the share's denominator; the share of nothing is 0."""
+    no = F.coalesce(unsupported, F.lit(False))
+    ok, evaluated = F.count_if(success & ~no), F.count_if(~no)
+    return results.groupBy(*by).agg(F.count("*").alias("total"), evaluated.alias("evaluated"), F.count_if(no).alias("unsupported"), ok.alias("successful"), F.count_if(api_error).alias("api_errors"), T.ratio(ok.cast("double"), evaluated).alias("accuracy"))
+
+
+def inspect_run(outputs: dict[str, DataFrame]) -> DataFrame:
+    """``output, rows`` of a run's tables, one scan each."""
+    counted = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("output"), "rows") for name, df in sorted(outputs.items())]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def at_places(samples: DataFrame, place: str, start: int = 0, end: int | None = None, most: int | None = None) -> DataFrame:
+    """The samples from place ``start`` to before ``end``, at most ``most`` of them in the order of their places."""
+    got = samples.where(F.col(place) >= start)
+    got = got if end is None else got.where(F.col(place) < end)
+    return got if most is None else got.orderBy(place).limit(most)

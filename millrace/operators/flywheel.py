@@ -144,3 +144,51 @@ def solve(samples: DataFrame, solver: Callable[[str], dict], id_col: str = "samp
             yield pd.DataFrame({"id": b["id"], "status": [g.get("status") for g in got], "value": [g.get("value") for g in got], "message": [g.get("message") for g in got]})
 
     return samples.select(F.col(id_col).alias("id"), "code").mapInPandas(run, f"id {kind}, status string, value double, message string")
+
+
+def _uniform(seed: str, what: str, key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), key.cast("string")), F.lit(1 << 53)) / float(1 << 53)
+
+
+def parent_candidates(jobs: DataFrame, seeds: DataFrame, synthetic: DataFrame, dims: list[str], seed: str, mode: str = "hybrid", share: float = 0.5, k: int = 8, exact_probability: float = 0.5) -> DataFrame:
+    """``job, parent, score, rank`` of the parents that each of ``jobs(job, *dims)`` may take, best first, from the pools
+    ``(parent, *dims)`` that the mode allows: seeds (seed_only, semantic_only, or no synthetic ones), synthetic ones
+    (synthetic_only), both (snowball), or one of them drawn by ``share`` (hybrid). Where some of a job's candidates
+    match in all dimensions and some don't, the former are dropped with a chance of 1 - ``exact_probability``."""
+    from millrace.operators.similarity import top_parents
+
+    tie = F.sha2(F.concat_ws(":", F.lit(seed), F.col("job").cast("string"), F.col("parent").cast("string")), 256)
+    ranked = lambda j, pool: top_parents(j, pool, dims, k, tie)
+    pool = lambda df: df.select("parent", *dims)
+    if mode in ("seed_only", "semantic_only") or synthetic.isEmpty():
+        got = ranked(jobs, pool(seeds))
+    elif mode == "synthetic_only" or (mode == "hybrid" and seeds.isEmpty()):
+        got = ranked(jobs, pool(synthetic))
+    elif mode == "snowball":
+        got = ranked(jobs, pool(seeds).unionByName(pool(synthetic)))
+    else:
+        drawn = _uniform(seed, "pool", F.col("job")) < share
+        got = ranked(jobs.where(drawn), pool(synthetic)).unionByName(ranked(jobs.where(~drawn), pool(seeds)))
+    exact = F.col("score") >= len(dims)
+    per = got.groupBy("job").agg(F.count_if(exact).alias("e"), F.count("*").alias("c"))
+    drop = (F.col("e") > 0) & (F.col("c") > F.col("e")) & (_uniform(seed, "exact", F.col("job")) > exact_probability)
+    return got.join(per, "job").where(~(drop & exact)).select("job", "parent", "score", "rank")
+
+
+def choose_parents(candidates: DataFrame, usage: dict, seed: str, penalty: float = 0.25) -> tuple[list[tuple], dict]:
+    """``(job, parent)`` for each job of a round, and the usage after it. A parent's weight falls with its uses so far, the
+    jobs of this round included in their order, so the choice is a fold; it streams the round's jobs (a round plans
+    at most its attempts, and a job has at most k candidates) and holds one job at a time."""
+    usage, out = dict(usage), []
+    rows = candidates.select("job", "parent", "rank", _uniform(seed, "choice", F.col("job")).alias("u")).groupBy("job", "u").agg(F.sort_array(F.collect_list(F.struct("rank", "parent"))).alias("c")).orderBy("job")
+    for r in rows.toLocalIterator():
+        weights = [1.0 / (1.0 + usage.get(c["parent"], 0) * penalty) for c in r["c"]]
+        pick, running, chosen = r["u"] * sum(weights), 0.0, r["c"][-1]["parent"]
+        for c, w in zip(r["c"], weights):
+            running += w
+            if running >= pick:
+                chosen = c["parent"]
+                break
+        usage[chosen] = usage.get(chosen, 0) + 1
+        out.append((r["job"], chosen))
+    return out, usage

@@ -281,6 +281,29 @@ def tolerance_accuracy(li):
     return li.groupBy((F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp")).alias("early")).agg(F.count("*").alias("n"), F.count_if(ok).alias("within"), F.avg(ok.cast("int")).alias("accuracy"))
 
 
+@query("events", sql="SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'login') AS evaluated, count(*) FILTER (WHERE event_type = 'login') AS unsupported, count(*) FILTER (WHERE value > 50 AND event_type <> 'login') AS successful, count(*) FILTER (WHERE value < 1) AS api_errors, CASE WHEN count(*) FILTER (WHERE event_type <> 'login') = 0 THEN 0.0 ELSE count(*) FILTER (WHERE value > 50 AND event_type <> 'login') / count(*) FILTER (WHERE event_type <> 'login') END AS accuracy FROM events GROUP BY user_id")
+def final_statistics(e):
+    return evaluation.final_statistics(e, F.col("value") > 50, F.col("event_type") == "login", F.col("value") < 1, ["user_id"])
+
+
+@query("documents", "benchmark", sql="SELECT 'benchmark' AS output, count(*) AS rows FROM benchmark UNION ALL SELECT 'documents', count(*) FROM documents")
+def inspect_outputs(d, b):
+    return evaluation.inspect_run({"documents": d, "benchmark": b})
+
+
+@query("documents", sql="SELECT CAST(sum(floor(length(text) / 4)) AS BIGINT) AS tokens, count(*) AS sequences, CAST(128 * 8192 * 250 AS BIGINT) AS consumed, round(128.0 * 8192 * 250 / sum(floor(length(text) / 4)), 2) AS epochs FROM documents")
+def training_volume(d):
+    return corpus.training_volume(d, T.token_estimate("text"), 8192, 128, 250)
+
+
+@query("benchmark", "documents")
+def parent_choice(b, d):
+    """Parents that each job may take, under the hybrid pool: documents of even ids are seeds, the others synthetic."""
+    jobs = b.select(F.col("item_id").alias("job"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr"))), (F.col("item_id") % 3 + 1).cast("int")).alias("lang"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"))
+    pool = d.select(F.col("doc_id").alias("parent"), "lang", "source")
+    return flywheel.parent_candidates(jobs, pool.where("parent % 2 = 0"), pool.where("parent % 2 = 1"), ["lang", "source"], "17")
+
+
 _PAYLOAD = "CASE event_type WHEN 'view' THEN 'Timeout after 360 s' WHEN 'click' THEN 'NameError: x is not defined' WHEN 'purchase' THEN 'TypeError: KeyError' WHEN 'login' THEN 'invalid literal for addConstr' ELSE 'unknown' END"
 _LADDER = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(p), '{x.replace(chr(39), chr(39) * 2)}')" for x in parts)} THEN '{name}'" for name, parts in vocab.BUILD_ERRORS) + " ELSE 'other_build_error' END"
 
