@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read
+from .common import read, table
 
 NONE = np.iinfo(np.int64).min
 QUERY_ROWS, CANDIDATE_ROWS = 256, 2048
@@ -19,10 +19,14 @@ PASS_BYTES = 32 << 20
 
 
 def weights(vectors: pa.Array, scale: float) -> np.ndarray:
-    """floor(scale * x) of each component as integers, one row per vector; shorter vectors end in zeros (no posting)."""
+    """floor(scale * x) of each component as integers, one row per vector; shorter vectors end in zeros (no posting). A
+    component that no long holds raises; scores, too, are taken to fit."""
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     n = np.asarray(vectors.value_lengths(), np.int64)
-    flat = np.floor(np.asarray(vectors.flatten(), np.float64) * scale).astype(np.int64)
+    whole = np.floor(np.asarray(vectors.flatten(), np.float64) * scale)
+    if (np.abs(whole) >= 2.0**63).any():
+        raise ValueError(f"a component times {scale} is beyond a long")
+    flat = whole.astype(np.int64)
     out = np.zeros((len(n), int(n.max(initial=0))), np.int64)
     out[np.arange(out.shape[1])[None, :] < n[:, None]] = flat
     return out
@@ -84,7 +88,8 @@ def _partition(query_ids, queries, scale: float, k: int):
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k candidates with the highest integer inner product, every
     row of ``vectors`` but those of the query's own id being candidates; ties go to the smaller id, fewer than k
-    candidates give all. No pruning: each pass sends a bounded block of queries to every partition of candidates.
+    candidates give all. No pruning: each pass sends a block of at most ``pass_bytes`` of queries, which the driver
+    holds one at a time, to every partition of candidates.
 
     Vectors that are null or hold a null or non-finite component, and rows with a null id, take no part. Equal query
     rows count once; equal candidate rows count each. Vectors of unequal length agree on missing terms as on zeros.
@@ -104,9 +109,14 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float
         block = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(passes)) == p).toArrow()
         ids, q = block.column("id").to_numpy(), weights(block.column("v"), scale)
         order = np.argsort(ids, kind="stable")
-        part = usable(vectors).mapInArrow(_partition(spark.sparkContext.broadcast(ids[order]), spark.sparkContext.broadcast(q[order]), scale, k), "row long, query_id long, vec_id long, score long")
+        sent = [spark.sparkContext.broadcast(x) for x in (ids[order], q[order])]
+        part = usable(vectors).mapInArrow(_partition(*sent, scale, k), "row long, query_id long, vec_id long, score long")
         ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
         part = ranked.select("query_id", "rank", "vec_id", "score")
+        if passes > 1:  # one block of queries is held at a time
+            part = table(part)
+            for b in sent:
+                b.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
