@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,13 @@ def lowest(df: DataFrame, key: Column, n: int) -> DataFrame:
     return df.orderBy(key, "doc_id").limit(n)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget plans that nothing refers to any more, so that the shuffle files of lineage that has been cut
+    are deleted now and not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(df: DataFrame) -> DataFrame:
     """Materialise as a Parquet table in the shared checkpoint folder: packed, and read by column."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
