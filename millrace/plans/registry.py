@@ -171,8 +171,10 @@ def similarity_to_reference(d, b):
 
 @query("documents")
 def near_dup_select(d):
-    pairs = similarity.jaccard_pairs(_sets(d))
-    return similarity.first_without_conflict(d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("place")), pairs).select(F.col("id").alias("doc_id"))
+    """Of equal sets the first decides: those after it conflict with it, or with what it conflicts with."""
+    pairs, of = similarity.class_pairs(_sets(d))
+    heads = d.select(F.col("doc_id").alias("id")).join(of.where("id <> class").select("id").distinct(), "id", "left_anti")
+    return similarity.first_without_conflict(heads.withColumn("place", F.col("id")), pairs).select(F.col("id").alias("doc_id"))
 
 
 @query("documents", sql="SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents")
