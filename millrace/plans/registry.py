@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from millrace import vocab
 from millrace.functions import text as T
 from millrace.functions.lineage import numbered
-from millrace.operators import corpus, evaluation, flywheel, lp, records, retrieval, similarity
+from millrace.operators import corpus, evaluation, flywheel, graphs, lp, records, retrieval, similarity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -470,13 +470,32 @@ def wl_equivalence(li):
     return lp.compare_colors(nodes.select("node", "model").join(lp.refine(nodes.select("node", "color"), edges, 1), "node"))
 
 
+def _incidences(li: DataFrame) -> DataFrame:
+    """The graphs of _models as graphs.ambiguous_parts takes them. A node is a long: its key, side and line number as digits
+    of one number; where they don't fit, numbers are counted out."""
+    line, keys = F.col("l_linenumber").cast("long"), ("l_orderkey", "l_partkey")
+    e = li.select(line.alias("model"), *[F.col(k).cast("long").alias(k) for k in keys], F.xxhash64("l_returnflag").alias("w")).where("model is not null")
+    ends = e.agg(*[f(c) for c in ("model", *keys) for f in (F.min, F.max)]).first()
+    least, width = ends[0] or 0, (ends[1] or 0) - (ends[0] or 0) + 1
+    if max(abs(x or 0) for x in ends[2:]) < (1 << 61) // width:
+        node = lambda key, side: (F.col(key) * 2 + side) * width + (F.col("model") - F.lit(least))
+        e = e.select("model", "w", node("l_orderkey", 0).alias("a"), node("l_partkey", 1).alias("b"))
+    else:
+        named = [e.select("model", F.lit(side).alias("side"), F.col(k).alias("key")) for side, k in enumerate(keys)]
+        ids = numbered(named[0].union(named[1]).where("key is not null").distinct(), "model", "side", "key", name="node")
+        of = lambda side, k, name: ids.where(F.col("side") == side).select("model", F.col("key").alias(k), F.col("node").alias(name))
+        e = e.join(of(0, keys[0], "a"), ["model", keys[0]], "left").join(of(1, keys[1], "b"), ["model", keys[1]], "left").select("model", "w", "a", "b")
+    both = F.inline(F.array(*[F.struct(F.col(x).alias("node"), F.lit(side).cast("long").alias("color"), F.col("model"), F.col(y).alias("other"), F.col("w")) for side, (x, y) in enumerate(("ab", "ba"))]))
+    return e.select(both)
+
+
 @query("lineitem")
 def ambiguous_components(li):
     """Ambiguous parts of the line numbers' graphs under stable colours: their nodes, parts, and whether a part holds a colour twice."""
-    nodes, edges = _models(li)
-    colors = nodes.select("node", "model").join(lp.stable_colors(nodes.select("node", "color"), edges), "node")
-    parts = lp.ambiguous_components(colors, edges).groupBy("model", "component").agg(F.count("*").alias("n"), F.count_distinct("color").alias("k"))
-    return parts.groupBy("model").agg(F.sum("n").alias("nodes"), F.count("*").alias("parts"), F.bool_or(F.col("n") > F.col("k")).alias("undecided"))
+    got = graphs.ambiguous_parts(_incidences(li))
+    colors = got.groupBy("model", "component", "color").agg(F.count("*").alias("k"))
+    parts = colors.groupBy("model", "component").agg(F.sum("k").alias("n"), (F.max("k") > 1).alias("twice"))
+    return parts.groupBy(F.concat(F.lit("m"), "model").alias("model")).agg(F.sum("n").alias("nodes"), F.count("*").alias("parts"), F.bool_or("twice").alias("undecided"))
 
 
 # ---- corpus preparation
