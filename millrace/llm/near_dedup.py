@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_keys, linked
+from .blocks import PACKED, block_keys, linked, packed
 from .common import BitFilter, SpanHash, components, cut
 from .hamming import links
 
@@ -141,7 +141,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
         sets = source.select("text").mapInArrow(_sets(shingle, some), "id long, size long, value binary")
         return cut(sets.groupBy("id").agg(F.first("size").alias("size"), F.first("value").alias("value")).join(wanted, "id", "left_semi"))
 
-    groups = linked(keyed, values, similarity, [lambda a, b: jaccard(a, b) >= similarity - 1e-12])
+    groups = linked(keyed.mapInArrow(packed, PACKED), values, similarity, [lambda a, b: jaccard(a, b) >= similarity - 1e-12])
     rooted = rows.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("id").alias("_kept")).select("_kept").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
