@@ -1,5 +1,6 @@
 """Operator 7, SimHash near-dedup: 64-bit SimHash of word shingles, bit-sliced comparison, connected groups; and the form
-for a given Jaccard similarity, where no radius of 64 bits serves: blocks of SimHashes, and exact Jaccard."""
+for a given Jaccard similarity, where no radius of 64 bits serves: blocks of SimHashes, the rarest shingles, which no link
+escapes, and exact Jaccard."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .blocks import PACKED, block_keys, linked, packed
 from .common import BitFilter, SpanHash, components, cut
 from .hamming import links
+from .line_dedup import COUNTED, SLOTS, _slots, count_rows, slot_sums
 
 SEED, AT_ONCE = 42, 1 << 15
 SHINGLE, SIMILARITY, BLOCKS, PER_BLOCK = 5, 0.8, 16, 3
@@ -95,14 +97,39 @@ def _node(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
-def _set_keys(size: int):
-    """Id, node and block keys of each text; the empty set has no keys."""
+def _shingle_counts(size: int):
+    """In how many texts a task saw the shingles of each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total = np.zeros(1 << SLOTS, np.int64), 0
+        for b in batches:
+            for lo in range(0, b.num_rows, AT_ONCE):
+                sets = [shingles(t.as_py(), size) for t in b.column(0).slice(lo, AT_ONCE)]
+                counts += np.bincount(_slots(np.concatenate(sets)), minlength=1 << SLOTS)
+                total += len(sets)
+        yield count_rows("shingle", counts, total)
+
+    return run
+
+
+def rarest(s: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of an ascending set in the order of counts and hashes, so many that sets of at least this Jaccard
+    similarity, which share that part of either's, have one in common: the first of all they share is among both's."""
+    n = len(s)
+    return s[np.argsort(counts[_slots(s)], kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def _set_keys(size: int, similarity: float, counts):
+    """Id, node and keys of each text, those of its blocks and its rarest shingles; the empty set has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), size) for t in b.column(1)]
-            keys = [block_keys(np.zeros(len(s), np.int64), s, np.ones(len(s)), BLOCKS, PER_BLOCK)[1].view(np.int64).tolist() for s in sets]
-            yield pa.record_batch([b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            blocks = (block_keys(np.zeros(len(s), np.int64), s, np.ones(len(s)), BLOCKS, PER_BLOCK)[1] for s in sets)
+            keys = [np.r_[k, rarest(s, counts.value, similarity)].view(np.int64) for k, s in zip(blocks, sets)]
+            edges = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            yield pa.record_batch([b.column(0), pa.array([_node(s) for s in sets], pa.int64()), lists], names=["id", "node", "keys"])
 
     return run
 
@@ -125,14 +152,16 @@ def _sets(size: int, some):
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Keep, of each group, the rows of the smallest doc_id; rows with a null doc_id go only if their group has another id.
 
-    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity`` and their
-    SimHash fingerprints share a block (see ``blocks``; PER_BLOCK shingles a block, so that a pair at 0.8 misses all
-    BLOCKS with a chance of about (1 - 0.8**PER_BLOCK)**BLOCKS = 1e-5). Texts without words, null ones too, are one
+    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``. They meet if
+    their SimHash fingerprints share a block (see ``blocks``; PER_BLOCK shingles a block, so that a pair at 0.8 misses all
+    BLOCKS with a chance of about (1 - 0.8**PER_BLOCK)**BLOCKS = 1e-5), or, which leaves out no such pair, if they share
+    one of their rarest shingles, as counted in all rows. Texts without words, null ones too, are one
     group. Equal texts are one node however many there are; repeated rows of the id that stays all stay; an empty
     table gives no rows; other columns pass through."""
     kind, spark = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession
     source = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(source.mapInArrow(_set_keys(shingle), f"id {kind}, node long, keys array<long>"))
+    counts = spark.sparkContext.broadcast(slot_sums(source.select("text").mapInArrow(_shingle_counts(shingle), COUNTED), ["shingle"])[0]["shingle"].astype(np.uint32))
+    rows = cut(source.mapInArrow(_set_keys(shingle, similarity, counts), f"id {kind}, node long, keys array<long>"))
     # one row a node before the keys are dealt
     keyed = rows.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), F.col("node").alias("id"))
 

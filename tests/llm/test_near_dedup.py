@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from millrace.llm import near_dedup
+from millrace.llm.blocks import block_keys
 from millrace.llm.hamming import finer, links, masks, pairs_within
 
 
@@ -132,3 +133,31 @@ def test_copies_are_dropped_at_jaccard(make):
     assert sorted(map(str, (g.doc_id for g in got))) == sorted(str(i) for i, _ in rows if i in keep)
     linked = [i for i in range(0, 80, 2) if up[i] == up[i + 1]]
     assert sum(bin(near_dedup.fingerprint(rows[i][1]) ^ near_dedup.fingerprint(rows[i + 1][1])).count("1") > 2 for i in linked) > 5
+
+
+def test_copies_that_share_no_block_are_dropped(make):
+    """A word of every block of a text is changed, which leaves a Jaccard similarity over 0.8 and no block."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(9))
+    keys = lambda w: set(block_keys(np.zeros(len(w), np.int64), near_dedup.shingles(" ".join(w), 1), np.ones(len(w)), near_dedup.BLOCKS, near_dedup.PER_BLOCK)[1].tolist())
+    first = [word() for _ in range(400)]
+    other, apart = list(first), 0
+    while keys(first) & keys(other):
+        k = r.randrange(400)
+        changed = other[:k] + [word()] + other[k + 1 :]
+        if other[k] == first[k] and len(keys(first) & keys(changed)) < len(keys(first) & keys(other)):
+            other, apart = changed, apart + 1
+    assert 400 - apart >= 0.8 * (400 + apart)
+    rows = [(1, " ".join(first)), (2, " ".join(other)), (3, " ".join(word() for _ in range(400)))]
+    assert sorted(g.doc_id for g in near_dedup.drop_near_copies(make(rows), shingle=1).collect()) == [1, 3]
+
+
+def test_rarest_shingles_meet():
+    r = np.random.default_rng(9)
+    counts = r.integers(0, 3, 1 << near_dedup.SLOTS).astype(np.uint32)
+    for n in [1, 2, 4, 5, 6, 9, 10, 45, 400] * 20:
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        gone = r.integers(0, n // 5 + 1)
+        b = np.unique(np.r_[r.permutation(a)[gone:], r.integers(0, 1 << 63, r.integers(0, n // 5 - gone + 1), dtype=np.uint64)])
+        if near_dedup.jaccard(a.tobytes(), b.tobytes()) >= 0.8 - 1e-12:
+            assert set(near_dedup.rarest(a, counts, 0.8)) & set(near_dedup.rarest(b, counts, 0.8))
