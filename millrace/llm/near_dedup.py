@@ -1,9 +1,10 @@
 """Operator 7, SimHash near-dedup: 64-bit SimHash of word shingles, bit-sliced comparison, connected groups; and the form
-for a given Jaccard similarity, where no radius of 64 bits serves: blocks of SimHashes, the rarest shingles, which no link
-escapes, and exact Jaccard."""
+for a given Jaccard similarity, where no radius of 64 bits serves: the rarest shingles, which no link escapes, and exact
+Jaccard."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PACKED, block_keys, linked, packed
-from .common import BitFilter, SpanHash, components, cut
+from .blocks import PACKED, linked, packed
+from .common import BitFilter, SpanHash, components, cut, release, table
 from .hamming import links
 from .line_dedup import COUNTED, SLOTS, _slots, count_rows, slot_sums
 
 SEED, AT_ONCE = 42, 1 << 15
-SHINGLE, SIMILARITY, BLOCKS, PER_BLOCK = 5, 0.8, 16, 3
+SHINGLE, SIMILARITY = 5, 0.8
+BLOCKS, PER_BLOCK = 16, 3  # SimHash blocks that a test takes from a text to show that no link needs one
+HELD = 1 << 25  # bytes of sets that a task holds besides its batch
 
 
 def _votes(h: np.ndarray) -> np.ndarray:
@@ -75,9 +78,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(classes, "fp").select("id", "fp", "component")
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the word shingles, words as in fingerprint; one shingle if there are fewer words, none without."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(words: list[bytes], size: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     line, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
@@ -85,6 +90,11 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(SpanHash(np.frombuffer(line, np.uint8))(starts[:k], ends[min(size, len(words)) - 1 :] - 1))
 
 
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of the word shingles, words as in fingerprint; one shingle if there are fewer words, none without."""
+    return _shingles(_words(text), size)
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     """Of two sets of hashes, as bytes of ascending 64-bit numbers."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -119,60 +129,95 @@ def rarest(s: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     return s[np.argsort(counts[_slots(s)], kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
-def _set_keys(size: int, similarity: float, counts):
-    """Id, node and keys of each text, those of its blocks and its rarest shingles; the empty set has no keys."""
+def _named(size: int):
+    """Id, row, node and number of shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), size) for t in b.column(1)]
-            blocks = (block_keys(np.zeros(len(s), np.int64), s, np.ones(len(s)), BLOCKS, PER_BLOCK)[1] for s in sets)
-            keys = [np.r_[k, rarest(s, counts.value, similarity)].view(np.int64) for k, s in zip(blocks, sets)]
-            edges = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.record_batch([b.column(0), pa.array([_node(s) for s in sets], pa.int64()), lists], names=["id", "node", "keys"])
+            sets = (shingles(t.as_py(), size) for t in b.column(2))
+            names = [(_node(s), len(s)) for s in sets]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([k for k, _ in names], pa.int64()), pa.array([n for _, n in names], pa.int64())], names=["id", "row", "node", "size"])
 
     return run
 
 
-def _sets(size: int, some):
-    """Node, size and hashes of the distinct sets of a batch that pass the filter."""
+def _set_keys(size: int, similarity: float, counts, some):
+    """Packed keys of the texts of rows that pass the filter: their rarest shingles, with the node; the empty set has no keys."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.flatnonzero(some.value.might_contain(b.column(0).to_numpy())).tolist()
+            for lo in range(0, len(at), 256):
+                sets = [shingles(b.column(1)[i].as_py(), size) for i in at[lo : lo + 256]]
+                first = [rarest(s, counts.value, similarity) for s in sets]
+                node = np.repeat(np.array([_node(s) for s in sets], np.int64), [len(k) for k in first])
+                yield pa.record_batch([pa.array(np.concatenate(first).view(np.int64)), pa.array(node)], names=["key", "id"])
+
+    return lambda batches: packed(keys(batches))
+
+
+def _texts(some):
+    """Row and compressed words of the texts of rows that pass the filter: a text takes a fraction of the bytes of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = {_node(s): s for t in b.column(0) if len(s := shingles(t.as_py(), size))}
-            nodes = np.array(list(sets), np.int64)
-            at = nodes[some.value.might_contain(nodes)] if len(nodes) else nodes
+            row = b.column(0).to_numpy()
+            at = np.flatnonzero(some.value.might_contain(row)) if len(row) else np.empty(0, np.int64)
             for lo in range(0, len(at), 256):
-                part = [sets[k] for k in at[lo : lo + 256].tolist()]
-                yield pa.record_batch([pa.array(at[lo : lo + 256]), pa.array([len(s) for s in part], pa.int64()), pa.array([s.tobytes() for s in part], pa.binary())], names=["id", "size", "value"])
+                part = at[lo : lo + 256]
+                yield pa.record_batch([pa.array(row[part]), pa.array([zlib.compress(b" ".join(_words(b.column(1)[i].as_py())), 1) for i in part.tolist()], pa.binary())], names=["row", "value"])
 
     return run
 
 
+class Sets:
+    """The sets of texts as _texts compresses them; those met last are held, up to HELD bytes."""
+
+    def __init__(self, size: int):
+        self.size, self.known, self.held = size, {}, 0
+
+    def of(self, value: bytes) -> bytes:
+        if value not in self.known:
+            s = _shingles(zlib.decompress(value).split(), self.size).tobytes()
+            self.held += len(s) + len(value)
+            if self.held > HELD:
+                self.known, self.held = {}, len(s) + len(value)
+            self.known[value] = s
+        return self.known[value]
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Keep, of each group, the rows of the smallest doc_id; rows with a null doc_id go only if their group has another id.
 
-    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``. They meet if
-    their SimHash fingerprints share a block (see ``blocks``; PER_BLOCK shingles a block, so that a pair at 0.8 misses all
-    BLOCKS with a chance of about (1 - 0.8**PER_BLOCK)**BLOCKS = 1e-5), or, which leaves out no such pair, if they share
-    one of their rarest shingles, as counted in all rows. Texts without words, null ones too, are one
-    group. Equal texts are one node however many there are; repeated rows of the id that stays all stay; an empty
-    table gives no rows; other columns pass through."""
+    Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``. They meet if they
+    share one of their rarest shingles, as counted in all rows, which leaves out no such pair. Texts without words, null
+    ones too, are one group. Equal texts are one node however many there are; repeated rows of the id that stays all stay;
+    an empty table gives no rows; other columns pass through.
+
+    What is shuffled of a text is a key for a fifth of its shingles; its words follow only if a text of a near size has one of
+    these keys too, or many texts have."""
     kind, spark = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession
-    source = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
     counts = spark.sparkContext.broadcast(slot_sums(source.select("text").mapInArrow(_shingle_counts(shingle), COUNTED), ["shingle"])[0]["shingle"].astype(np.uint32))
-    rows = cut(source.mapInArrow(_set_keys(shingle, similarity, counts), f"id {kind}, node long, keys array<long>"))
-    # one row a node before the keys are dealt
-    keyed = rows.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), F.col("node").alias("id"))
+    rows = table(source.mapInArrow(_named(shingle), f"id {kind}, row long, node long, size long"))
+    # one row a node gives its keys and its words
+    nodes = table(rows.where("size > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size")))
+    some = spark.sparkContext.broadcast(BitFilter.of(nodes, "row"))
+    release(spark)
 
     def values(wanted: DataFrame) -> DataFrame:
-        some = spark.sparkContext.broadcast(BitFilter.of(wanted, "id"))
-        sets = source.select("text").mapInArrow(_sets(shingle, some), "id long, size long, value binary")
-        return cut(sets.groupBy("id").agg(F.first("size").alias("size"), F.first("value").alias("value")).join(wanted, "id", "left_semi"))
-
-    groups = linked(keyed.mapInArrow(packed, PACKED), values, similarity, [lambda a, b: jaccard(a, b) >= similarity - 1e-12])
+        near = table(nodes.join(wanted.withColumnRenamed("id", "node"), "node", "left_semi"))
+        few = spark.sparkContext.broadcast(BitFilter.of(near, "row"))
+        texts = source.select("row", "text").mapInArrow(_texts(few), "row long, value binary")
+        return table(texts.groupBy("row").agg(F.first("value").alias("value")).join(near, "row").select(F.col("node").alias("id"), "size", "value"))
+
+    sets = Sets(shingle)
+    keyed = source.select("row", "text").mapInArrow(_set_keys(shingle, similarity, counts, some), PACKED)
+    groups = linked(keyed, values, similarity, [lambda a, b: jaccard(sets.of(a), sets.of(b)) >= similarity - 1e-12], sizes=nodes.select(F.col("node").alias("id"), "size"))
     rooted = rows.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("id").alias("_kept")).select("_kept").distinct()
+    kept = table(rooted.groupBy("root").agg(F.min("id").alias("_kept")).select("_kept").distinct())
+    release(spark)
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 

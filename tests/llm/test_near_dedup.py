@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from millrace.llm import near_dedup
-from millrace.llm.blocks import block_keys
+from millrace.llm.blocks import block_keys, linked
 from millrace.llm.hamming import finer, links, masks, pairs_within
 
 
@@ -161,3 +161,14 @@ def test_rarest_shingles_meet():
         b = np.unique(np.r_[r.permutation(a)[gone:], r.integers(0, 1 << 63, r.integers(0, n // 5 - gone + 1), dtype=np.uint64)])
         if near_dedup.jaccard(a.tobytes(), b.tobytes()) >= 0.8 - 1e-12:
             assert set(near_dedup.rarest(a, counts, 0.8)) & set(near_dedup.rarest(b, counts, 0.8))
+
+
+def test_only_texts_of_near_sizes_travel(make, monkeypatch):
+    """Texts that share their rarest shingles with none but texts of other sizes aren't asked for."""
+    r, asked = random.Random(3), []
+    words = lambda n: [" ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))]
+    monkeypatch.setattr(near_dedup, "linked", lambda keyed, values, *a, **kw: linked(keyed, lambda wanted: asked.append(wanted.count()) or values(wanted), *a, **kw))
+    shared, common, copied = words(30), words(60), words(90)
+    rows = [(1, shared), (2, shared + common), (3, copied), (4, copied + words(1)), *((k, common + words(200)) for k in range(5, 10))]
+    assert {g.doc_id for g in near_dedup.drop_near_copies(make([(k, " ".join(t)) for k, t in rows])).collect()} == {1, 2, 3, *range(5, 10)}
+    assert asked == [2]
